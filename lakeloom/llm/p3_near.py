@@ -34,7 +34,9 @@ from pyspark.sql import functions as F
 
 from .common import JAVA_WORD, not_blank, table, written
 
-GROUPS = 16
+GROUPS = 32
+#: A coordinate's largest value; points of records with as many words aren't held against the bound.
+FULL = 255
 LEAF = 48
 BLOCK = 65536
 #: Hash buckets of the word counts: bounds what the driver gathers, and changes only the order of words.
@@ -68,7 +70,7 @@ def _need(t: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-ROWS = pa.schema([("word", pa.int64()), ("salt", pa.int32()), ("looks", pa.bool_()), ("rep", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), ("point", pa.binary(2 * GROUPS))])
+ROWS = pa.schema([("word", pa.int64()), ("salt", pa.int32()), ("looks", pa.bool_()), ("rep", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), ("point", pa.binary(GROUPS))])
 ROWS_SQL = "word long, salt int, looks boolean, rep string, n int, pos int, point binary"
 
 
@@ -83,7 +85,7 @@ def _filer(counts, t: float):
             h = lists.values.to_numpy()[ends[0] : ends[-1]]
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
-            point = np.bincount(doc * GROUPS + ((h >> 40) & (GROUPS - 1)), minlength=len(n) * GROUPS).clip(max=65535).astype("<u2").reshape(-1, GROUPS)
+            point = np.bincount(doc * GROUPS + ((h >> 40) & (GROUPS - 1)), minlength=len(n) * GROUPS).clip(max=FULL).astype(np.uint8).reshape(-1, GROUPS)
             count = of_bucket[np.mod(h, BUCKETS)]
             order = np.lexsort((h, count, doc))
             h, count = h[order], count[order]
@@ -113,7 +115,7 @@ def _filer(counts, t: float):
                             reps.take(pa.array(d)),
                             pa.array(n[d].astype(np.int32)),
                             pa.array(pos[a].astype(np.int32)),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(2 * GROUPS), len(a), [None, pa.py_buffer(np.ascontiguousarray(point[d]).tobytes())]).cast(pa.binary()),
+                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(a), [None, pa.py_buffer(np.ascontiguousarray(point[d]).tobytes())]).cast(pa.binary()),
                         ],
                         names=ROWS.names,
                     )
@@ -123,7 +125,7 @@ def _filer(counts, t: float):
 
 def _points(col: pa.Array) -> np.ndarray:
     flat = b"".join(col.to_pylist())
-    return np.frombuffer(flat, "<u2").reshape(-1, GROUPS)
+    return np.frombuffer(flat, np.uint8).reshape(-1, GROUPS)
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -165,7 +167,7 @@ def _candidates(a: dict, b: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
         ok = nb - b["pos"][y] >= need
         ok &= pos_low[leaf] + b["pos"][y] <= (1 - 2 * share) * (np.minimum(n_high[leaf], nb) + nb) + 1e-9
         leaf, y, need = leaf[ok], y[ok], need[ok]
-        ok = (np.minimum(top[leaf], b["p"][y]).sum(1, dtype=np.int32) >= need) | (b["n"][y] >= 65535)
+        ok = (np.minimum(top[leaf], b["p"][y]).sum(1, dtype=np.int32) >= need) | (b["n"][y] >= FULL)
         leaf, y = leaf[ok], y[ok]
         for k in range(0, len(leaf), PAIRS_AT_ONCE // LEAF):
             of, x = _spread(leaf_at[leaf[k : k + PAIRS_AT_ONCE // LEAF]], leaf_size[leaf[k : k + PAIRS_AT_ONCE // LEAF]])
@@ -174,7 +176,7 @@ def _candidates(a: dict, b: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
             need = np.ceil(share * (na + nb) - 1e-9)
             ok = (na <= nb) & (na >= t * nb - 1e-9) & (np.minimum(na - pa_, nb - pb) >= need) & (pa_ + pb <= na + nb - 2 * need) & (a["id"][x] != b["id"][yy])
             x, yy, need = x[ok], yy[ok], need[ok]
-            ok = (np.minimum(a["p"][x], b["p"][yy]).sum(1, dtype=np.int32) >= need) | (b["n"][yy] >= 65535)
+            ok = (np.minimum(a["p"][x], b["p"][yy]).sum(1, dtype=np.int32) >= need) | (b["n"][yy] >= FULL)
             out_a.append(x[ok])
             out_b.append(yy[ok])
     none = np.zeros(0, np.int64)
