@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir, written
+
+__all__ = ["JAVA_SPACE", "JAVA_WORD", "arrow_rows", "cut", "not_blank", "shared_dir", "table", "written"]
+
 #: A word: a run of letters, digits and underscores (Java regex spelling of Python's ``\w+``).
 JAVA_WORD = r"[\p{L}\p{N}_]+"
 #: Unicode white space, as Python's ``str.isspace`` sees it.
@@ -26,43 +27,6 @@ def not_blank(c: Column) -> Column:
     return F.coalesce(c.rlike(rf"(?s)[^\s\u0085\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\u001c-\u001f]"), F.lit(False))
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir`` where the cluster names one."""
-    sc = spark.sparkContext
-    at = sc._jsc.sc().getCheckpointDir()
-    if at.isDefined():
-        return at.get()
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
-    return sc._jsc.sc().getCheckpointDir().get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and go on from there: the lineage ends, and a lost executor loses nothing."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
-def written(df: DataFrame) -> DataFrame:
-    """As ``cut``, but as a compressed, columnar table: for wide rows of which later steps read some columns only.
-
-    The folder is removed when the session's driver ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-    except Exception:  # noqa: BLE001 - the session has ended; the cluster cleans its checkpoint folder
-        pass
-
-
 def arrow_rows(fn: Callable[..., Iterator[tuple]], fields: list[str], schema: pa.Schema):
     """A ``mapInArrow`` function from ``fn(*columns as lists)``, which yields the output rows of a batch."""
 
