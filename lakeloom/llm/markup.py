@@ -24,7 +24,7 @@ HTML_ELEMENTS = (
     "sub summary sup svg table tbody td template textarea tfoot th thead time title tr track tt u ul var video wbr"
 ).split()
 _EL = "|".join(sorted(HTML_ELEMENTS, key=len, reverse=True))
-TAG = re.compile(rf"</?(?:{_EL})(?:\s[^<>]*)?/?>|<!--.*?-->|<!doctype[^<>]*>", re.I | re.S)
+TAG = re.compile(rf"</?(?:{_EL})(?:\s[^<>]*)?/?>|<!--(?:(?!<!--).)*?-->|<!doctype[^<>]*>", re.I | re.S)
 ENTITY = re.compile(r"&(?:[a-z][a-z0-9]{1,30}|#\d{1,7}|#x[0-9a-f]{1,6});", re.I)
 
 HEADING = re.compile(r"^ {0,3}#{1,6}[ \t]+\S*[^\W\d_]", re.M)
@@ -32,7 +32,8 @@ UNDERLINE = re.compile(r"\n {0,3}(?:={3,}|-{3,})[ \t]*(?=\n|\Z)")
 STRONG = re.compile(r"\*\*(?=[^\s*])[^*\n]+(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_])[^_\n]+(?<=[^\s_])__(?!\w)|(?<![\w*])\*(?=[^\W\d_])[^*\n]*\w\*(?![\w*])")
 LINK = re.compile(r"!?\[[^\[\]\n]*\]\((?:[^()\s]+)(?:\s+\"[^\"\n]*\")?\)")
 FENCE_LINE = re.compile(r"^ {0,3}(?:```|~~~)[ \t]*[\w+-]*[ \t]*$", re.M)
-RULE_ROW = re.compile(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*$", re.M)
+_RULE = r"[ \t]*\|?[ \t]*(?::-+:?|-+:|-{3,})[ \t]*(?:\|[ \t]*(?::-+:?|-+:|-{3,})[ \t]*)+\|?[ \t]*"
+RULE_ROW = re.compile(rf"^{_RULE}$", re.M)
 QUOTE = re.compile(r"^ {0,3}>[ \t]+\S*\w", re.M)
 INLINE_CODE = re.compile(r"(?<![`\w])`[^`\n]+`(?![`\w])")
 TASK = re.compile(r"^[ \t]*[-*+][ \t]+\[[ xX]\][ \t]", re.M)
@@ -52,7 +53,8 @@ def is_markdown(text: str) -> bool:
         or ("](" in text and LINK.search(text))
         or (("*" in text or "__" in text) and STRONG.search(text))
         or (("```" in text or "~~~" in text) and FENCE_LINE.search(text))
-        or (("---" in text or "===" in text) and (("|" in text and RULE_ROW.search(text)) or _underlined(text)))
+        or ("|" in text and "-" in text and RULE_ROW.search(text))
+        or (("---" in text or "===" in text) and _underlined(text))
         or (">" in text and QUOTE.search(text))
         or ("`" in text and INLINE_CODE.search(text))
         or ("] " in text and TASK.search(text))
@@ -166,7 +168,7 @@ def languages(text: str | None) -> set[str]:
 LIST_ITEM = re.compile(r"^\s*(?:[-*+•‣·–—◦▪]|\(?\d{1,3}[.)]|\(?[A-Za-z][.)]|\((?:[ivx]{1,5})\)|[ivx]{1,5}[.)])\s+\S")
 
 
-_DROP = re.compile(r"<(script|style|head)\b.*?(?:</\1\s*>|\Z)|<!--.*?-->|<!doctype[^<>]*>", re.I | re.S)
+_DROP = re.compile(r"<(script|style|head)\b.*?(?:</\1\s*>|\Z)|<!--(?:(?!<!--).)*?-->|<!doctype[^<>]*>", re.I | re.S)
 _MATH_ENV = re.compile(r"\\begin\{(equation|align|displaymath|gather|eqnarray|math)(\*?)\}(.*?)(?:\\end\{\1\2\}|\Z)", re.S)
 
 
@@ -213,7 +215,7 @@ def _wiki(t: str) -> str:
 def _markdown(t: str) -> str:
     t = re.sub(r"^([^\n|]*\w[^\n|]*)\n {0,3}(={3,}|-{3,})[ \t]*$", lambda m: f"{'#' if m[2][0] == '=' else '##'} {m[1]}", t, flags=re.M)
     t = re.sub(r"^ {0,3}(#{1,6})[ \t]+(.*?)[ \t]*#*[ \t]*$", r"\1 \2", t, flags=re.M)
-    t = re.sub(r"^[ \t]*\|?[ \t]*:?-{3,}:?[ \t]*(?:\|[ \t]*:?-{3,}:?[ \t]*)+\|?[ \t]*\n?", "", t, flags=re.M)
+    t = re.sub(rf"^{_RULE}(?:\n|\Z)", "", t, flags=re.M)
     t = re.sub(r"!?\[([^\[\]\n]*)\]\([^()\s]+(?:\s+\"[^\"\n]*\")?\)", r"\1", t)
     t = re.sub(r"\*\*(?=[^\s*])([^*\n]+)(?<=[^\s*])\*\*|(?<!\w)__(?=[^\s_])([^_\n]+)(?<=[^\s_])__(?!\w)|(?<![\w*])\*(?=[^\W\d_])([^*\n]*\w)\*(?![\w*])", lambda m: m[1] or m[2] or m[3], t)
     t = re.sub(r"^ {0,3}>[ \t]?", "", t, flags=re.M)

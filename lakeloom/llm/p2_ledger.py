@@ -23,7 +23,6 @@ BUCKETS = 256
 _FIELD = r"^\s*\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s*[^\s].*$"
 _LINE_FIELD = r"^\s*\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s+[^\s].*$"
 _JSON = r"(?s)^\s*\{\s*\"[^\"]*\"\s*:.*\}\s*$"
-_PAIR = r"\"(?:[^\"\\]|\\.)*\"\s*:\s*(?:\"(?:[^\"\\]|\\.)*\"|[^,\"{}\[\]]+)"
 
 
 def _bare(c: Column) -> Column:
@@ -36,6 +35,12 @@ def _pairs(parts: Column) -> Column:
     return F.array_join(F.array_sort(bare), "\u0002")
 
 
+def _json_pairs(c: Column) -> Column:
+    entries = F.map_entries(F.from_json(c, "map<string,string>"))
+    bare = F.transform(entries, lambda e: F.concat(_bare(e["key"]), F.lit("\u0001"), _bare(F.coalesce(e["value"], F.lit("null")))))
+    return F.array_join(F.array_sort(bare), "\u0002")
+
+
 def canonical_text(c: Column) -> Column:
     """The canonical form of a text, as one string; null for null and blank texts."""
     text = F.regexp_replace(F.regexp_replace(c, r"\r", "\n"), r"[   -   　]", " ")
@@ -47,7 +52,7 @@ def canonical_text(c: Column) -> Column:
     plain = F.when(plain != "", plain).otherwise(F.concat(F.lit("\u0003"), F.regexp_replace(c, JAVA_SPACE, "")))
     maybe = text.rlike(r"^\s*(?:\{\s*\"|\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s)")
     record = (
-        F.when(text.rlike(_JSON), _pairs(F.regexp_extract_all(text, F.lit(_PAIR), F.lit(0))))
+        F.when(text.rlike(_JSON), _json_pairs(text))
         .when(all_fields(lines, _LINE_FIELD), _pairs(lines))
         .when(flat.contains(";") & all_fields(semi, _FIELD), _pairs(semi))
         .when(flat.contains("|") & all_fields(pipe, _FIELD), _pairs(pipe))

@@ -42,7 +42,7 @@ MIN_WORDS = 80
 MAX_EXAMPLES = 20_000
 #: Signs that part words, and those within or at the end of words and numbers.
 _SIGNS = str.maketrans(dict.fromkeys(';:!?()"[]{}*_`“”„«»–—…/|<>=+#~^\\%&$€£¿¡', " ") | dict.fromkeys(".,'’"))
-_DROP = re.compile(r"<(pre|table|script|style|code)\b.*?(?:</\1\s*>|\Z)|<!--.*?-->", re.I | re.S)
+_DROP = re.compile(r"<(pre|table|script|style|code)\b.*?(?:</\1\s*>|\Z)|<!--(?:(?!<!--).)*?-->", re.I | re.S)
 _BLOCK_TAG = re.compile(r"</?(?:p|div|li|ul|ol|h[1-6]|br|hr|tr|td|th|blockquote|section|article|head|title|body|html)\b[^<>]*>", re.I)
 _ENV = re.compile(r"\\begin\{(tabular|equation|align|displaymath|lstlisting|longtable)\*?\}.*?(?:\\end\{\1\*?\}|\Z)", re.S)
 _WIKI_TABLE = re.compile(r"^\{\|.*?(?:^\|\}|\Z)", re.M | re.S)

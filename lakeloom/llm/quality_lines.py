@@ -85,7 +85,7 @@ def _noise(s: str) -> bool:
     """A line of symbols: more signs than letters and digits, or leaders before a page number."""
     solid = len(s.replace(" ", ""))
     signs = solid - sum(map(str.isalnum, s))
-    return 2 * signs > solid and solid >= 3 or bool(LEADER.search(s)) and signs * 3 > solid
+    return 2 * signs > solid and solid >= 3 or signs * 3 > solid and len(s) < 400 and bool(LEADER.search(s))
 
 
 _MIXED = re.compile(r"[A-Za-z0-9][^\w\s.,'’/:@-]+[A-Za-z0-9]|[^\w\s.,;:!?()'\"-]{2,}|[.,;:!|~^]{2,}|(?<!\S)[|~^;:,!.]+\w|\w[|~^]")
