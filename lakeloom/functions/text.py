@@ -158,7 +158,7 @@ def document_type(c: Column) -> Column:
 # Patterns of rule-based entities.
 ENTITY_PATTERNS = {
     "EMAIL": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Z|a-z]{2,}\b",
-    "URL": r"https?://(?:[-\w.]|(?:%[\da-fA-F]{2}))+[/\w\.-]*(?:\?\S+)?",
+    "URL": r"https?://(?:[-\w.]++|%[\da-fA-F]{2})+[/\w\.-]*(?:\?\S+)?",
     "MONEY": r"\$\s*\d+(?:[,.]\d+)*(?:\s*(?:thousand|million|billion|trillion))?|\d+(?:[,.]\d+)*\s*(?:USD|EUR|GBP|JPY|CHF|CAD|AUD|CNY|HKD|NZD|KRW)",
     "PERCENT": r"\b\d+(?:\.\d+)?%\b",
     "VERSION": r"\bv?(?:\d+\.){1,3}\d+(?:-[a-zA-Z0-9.-]+)?\b",

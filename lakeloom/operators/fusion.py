@@ -24,15 +24,16 @@ def long_lists(requests: DataFrame, lists: tuple[str, ...] = ("vector", "bm25"))
     return good.groupBy("request_id", "alpha", "list", "id").agg(F.max("score").alias("score"))
 
 
-_LIST = Window.partitionBy("request_id", "list")
+def _list():
+    return Window.partitionBy("request_id", "list")
 
 
 def ranked(hits: DataFrame) -> DataFrame:
-    return hits.withColumn("rank", F.row_number().over(_LIST.orderBy(F.desc("score"), F.asc("id")))).withColumn("n", F.count("*").over(_LIST))
+    return hits.withColumn("rank", F.row_number().over(_list().orderBy(F.desc("score"), F.asc("id")))).withColumn("n", F.count("*").over(_list()))
 
 
 def min_max(hits: DataFrame, constant: float = 0.5) -> DataFrame:
-    lo, hi = F.min("score").over(_LIST), F.max("score").over(_LIST)
+    lo, hi = F.min("score").over(_list()), F.max("score").over(_list())
     return hits.withColumn("value", F.when(hi > lo, (F.col("score") - lo) / (hi - lo)).otherwise(F.lit(constant)))
 
 
@@ -70,8 +71,8 @@ def linear(hits: DataFrame, constant: float = 0.5) -> DataFrame:
 
 def _softmax(hits: DataFrame, temperature: float, score: str = "score") -> DataFrame:
     """exp(s / t) / sum, less the list's maximum, so that nothing overflows."""
-    e = hits.withColumn("e", F.exp((F.col(score) - F.max(score).over(_LIST)) / temperature))
-    return e.withColumn("value", F.col("e") / F.sum("e").over(_LIST))
+    e = hits.withColumn("e", F.exp((F.col(score) - F.max(score).over(_list())) / temperature))
+    return e.withColumn("value", F.col("e") / F.sum("e").over(_list()))
 
 
 def softmax(hits: DataFrame, temperature: float = 0.1) -> DataFrame:
@@ -80,7 +81,7 @@ def softmax(hits: DataFrame, temperature: float = 0.1) -> DataFrame:
 
 def logistic(hits: DataFrame, steepness: float = 1.0, middle: float = 0.5) -> DataFrame:
     m = min_max(hits, 0.5)
-    constant = F.min("score").over(_LIST) == F.max("score").over(_LIST)
+    constant = F.min("score").over(_list()) == F.max("score").over(_list())
     return _weighted(_two(m.withColumn("value", F.when(constant, F.lit(0.5)).otherwise(1 / (1 + F.exp(-steepness * (F.col("value") - middle))))), F.col("value")))
 
 

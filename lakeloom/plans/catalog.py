@@ -17,6 +17,7 @@ from ..functions import vectors as V
 from ..operators import chunking, dedup, enrich, fusion, hierarchy, learning, rerank, retrieval, tables, validation
 from ..sources.io import table
 from ..streaming import events as E
+from . import pipelines
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -622,3 +623,18 @@ def events_sessions(spark, d):
 @query("SELECT source, lang, count(*) AS documents FROM documents GROUP BY ROLLUP (source, lang)")
 def corpus_report(spark, d):
     return docs(spark, d).rollup("source", "lang").agg(F.count("*").alias("documents"))
+
+
+# ---------------------------------------------------------------- whole plans
+
+
+@query()
+def prepared_chunks(spark, d):
+    p = pipelines.prepare(docs(spark, d))
+    return p.select("id", "doc_id", "chunk_index", "section_id", "neighbor_prev", "neighbor_next", "meta.document_type", "meta.confidence")
+
+
+@query()
+def retrieved(spark, d):
+    c = chunks(spark, d).select("id", "text")
+    return pipelines.retrieve(retrieval.build_index(c), c, asked(spark, d), pipelines.RetrieveConfig(10, reranker="context_aware"))

@@ -38,7 +38,7 @@ def html_text(df: DataFrame, html: str = "html") -> DataFrame:
     c = F.regexp_replace(c, r"(?s)<[^<>]+>", "\n")
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         c = F.replace(c, F.lit(entity), F.lit(sign))
-    return df.withColumn("text", F.trim(F.regexp_replace(c, r"[ \t]*\n\s*", "\n")))
+    return df.withColumn("text", F.regexp_replace(F.regexp_replace(c, r"[ \t]*\n\s*", "\n"), r"^\s+|\s+$", ""))
 
 
 def conversations_as_documents(posts: DataFrame, channel: str = "conv_id", order: str = "turn", text: str = "text") -> DataFrame:
