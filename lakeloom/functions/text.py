@@ -81,7 +81,11 @@ NEGATIVE = ("bad", "poor", "negative", "terrible", "horrible", "worst", "failure
 
 def sentiment(c: Column) -> Column:
     """STRUCT<sentiment, score>: beyond a quarter either way it is positive or negative."""
-    w = words(c)
+    return sentiment_of(words(c))
+
+
+def sentiment_of(w: Column) -> Column:
+    """As ``sentiment``, of word tokens."""
     pos = F.size(F.filter(w, lambda x: x.isin(*POSITIVE)))
     neg = F.size(F.filter(w, lambda x: x.isin(*NEGATIVE))) + F.size(F.filter(w, lambda x: x == "difficult"))
     score = F.when(pos + neg > 0, (pos - neg) / (pos + neg)).otherwise(0.0)
@@ -115,7 +119,11 @@ def topic_scores(c: Column) -> Column:
 
 def topics(c: Column) -> Column:
     """Topics with at least a fifth of the highest score, best first, ties in the table's order."""
-    scores = topic_scores(c)
+    return topics_of(topic_scores(c))
+
+
+def topics_of(scores: Column) -> Column:
+    """As ``topics``, of the map of scores."""
     top = F.array_max(F.map_values(scores))
     order = list(TOPICS)
     ranked = F.array_sort(F.transform(F.filter(F.map_entries(scores), lambda e: (e["value"] > 0) & (e["value"] >= 0.2 * top)), lambda e: F.struct((-e["value"]).alias("s"), F.array_position(F.array(*map(F.lit, order)), e["key"]).alias("o"), e["key"].alias("t"))))

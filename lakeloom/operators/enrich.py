@@ -23,15 +23,20 @@ PROFILES = {
 
 
 def rich_metadata(df: DataFrame, text: str = "text") -> DataFrame:
-    """``df`` with ``meta``: type, dates, entities, topics, sentiment, structure, statistics, hash and confidence."""
+    """``df`` with ``meta``: type, dates, entities, topics, sentiment, structure, statistics, hash and confidence.
+
+    In stages, each of which names what the next uses more than once, so that nothing is computed twice.
+    """
+    own = df.drop("meta")
     c = F.coalesce(F.col(text), F.lit(""))
-    n = F.size(X.plain_split(c))
-    found, dates, topics, mood = X.entities(c), X.dates(c), X.topics(c), X.sentiment(c)
-    n_entities = F.aggregate(F.map_values(found), F.lit(0), lambda s, v: s + F.size(v))
+    t = own.select("*", c.alias("_c"), F.lower(c).alias("_low"), F.size(X.plain_split(c)).alias("_n"))
+    t = t.select("*", X.words(F.col("_c")).alias("_w"), X.entities(F.col("_c")).alias("_found"), X.dates(F.col("_c")).alias("_dates"), X.topic_scores(F.col("_low")).alias("_scores"))
+    t = t.select("*", X.topics_of(F.col("_scores")).alias("_topics"), X.sentiment_of(F.col("_w")).alias("_mood"), F.aggregate(F.map_values("_found"), F.lit(0), lambda s, v: s + F.size(v)).alias("_n_found"))
+    n, found, dates, topics, mood, c = (F.col(x) for x in ("_n", "_found", "_dates", "_topics", "_mood", "_c"))
     confidence = (
         F.lit(0.65)
         + F.when(F.size(dates) > 0, 0.05).otherwise(0.0)
-        + F.least(F.lit(0.1), n_entities * 0.01)
+        + F.least(F.lit(0.1), F.col("_n_found") * 0.01)
         + F.least(F.lit(0.1), F.size(topics) * 0.02)
         + F.when(mood["sentiment"] != "neutral", 0.05).otherwise(0.0)
         - F.when(n < 50, 0.2).when(n < 100, 0.1).otherwise(0.0)
@@ -49,7 +54,7 @@ def rich_metadata(df: DataFrame, text: str = "text") -> DataFrame:
         F.md5(c).alias("content_hash"),
         F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.1), confidence)), 4).alias("confidence"),
     )
-    return df.withColumn("meta", meta)
+    return t.select(*own.columns, meta.alias("meta"))
 
 
 def numeric_data(c: Column) -> Column:
