@@ -160,8 +160,9 @@ def kinds_of_lines(text: str) -> tuple[Counter, str]:
             f = _fields(x) if len(s) < 400 else None
             shapes[i] = 0 if f and ("|" in s or ";" in s) and _scrambled(s) else _columns(f)
             rest.append((i, s))
-    for i, _ in rest:  # rows of values, and the headers beside them
-        if shapes[i] == 2 or shapes[i] == 1 and any(0 <= j < len(lines) and (shapes[j] == 2 or kinds[j] == "table") for j in (i - 1, i + 1)):
+    several = sum(1 for x in shapes if x) > 1 or "table" in kinds
+    for i, _ in rest:  # rows of values, and the headers beside them; one row alone is no table
+        if several and (shapes[i] == 2 or shapes[i] == 1 and any(0 <= j < len(lines) and (shapes[j] == 2 or kinds[j] == "table") for j in (i - 1, i + 1))):
             kinds[i] = "table"
     fields = [i for i, s in rest if not kinds[i] and FIELD_LINE.match(s) and len(s) < 100 and not (s.endswith(".") and len(s.split()) > 8)]
     if len(fields) >= 2:

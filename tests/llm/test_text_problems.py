@@ -96,6 +96,7 @@ def test_any_text_passes(text):
         ("Search results improve when the index is read together with its list.", "prose"),
         ("THE OFFICE PAYS 12 PER DAY, ALTHOUGH THE LIST IS OLD AND\nNOBODY IN THE OFFICE KNOWS WHY IT IS SO.", "prose"),
         ("# A heading", "prose"),
+        ("WEEKLY NOTES  FOR ROME  00000763", "prose"),
     ],
 )
 def test_kind(text, kind):
