@@ -6,9 +6,13 @@ and statistic; ``with_tails`` turns values into percentiles and robust z-scores
 flags those in the tails. A document is junk if its tails say that it isn't natural text and its
 lines confirm it.
 
+Junk doesn't set the measure that it is held against: for ``p5_found`` the sketches are of the documents
+whose lines are not mostly junk, and the share of junk lines is one of the statistics, so that however much
+junk there is, it lies in a tail.
+
 Defined cases: null and blank texts have no kind and no statistics, but a stored count of a blank,
-non-null text is checked. A language without spread in a statistic has z = 0 for it. Languages that
-aren't recognised are held against the sketches of all documents.
+non-null text is checked. A statistic's spread is at least its ``LEAST_SPREAD``. Languages that aren't
+recognised, or have no sketch, are held against the sketches of all documents; without any, against 0.
 """
 
 from __future__ import annotations
@@ -20,16 +24,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import JAVA_SPACE, arrow_rows, cut, table
-from .quality_lines import STATS, kind_of, kinds_of_lines, text_stats
+from .quality_lines import STATS as TEXT_STATS
+from .quality_lines import STOP, kind_of, kinds_of_lines, text_stats
 
-KINDS = ("list", "table", "code", "junk")
+STATS = ("junk_lines", *TEXT_STATS)
+LEAST_SPREAD = {"junk_lines": 0.1, "words": 5.0, "mean_word": 0.4, "symbol_ratio": 0.02, "ended_lines": 0.1, "common_share": 0.03, "distinct_share": 0.04, "longest_word": 2.0, "digit_share": 0.03}
 #: Robust z-scores beyond which a value lies in a tail.
 TAIL_Z = 2.5
 
 
 def document_stats(df: DataFrame, key: str = "id", text: str = "content") -> DataFrame:
-    """(key, lang, kind, junk_lines, the statistics of ``STATS``) for each text that isn't blank."""
-    schema = pa.schema([(key, pa.string()), ("lang", pa.string()), ("kind", pa.string()), ("junk_lines", pa.float64()), *((s, pa.float64()) for s in STATS)])
+    """(key, lang, kind, the statistics of ``STATS``) for each text that isn't blank."""
+    schema = pa.schema([(key, pa.string()), ("lang", pa.string()), ("kind", pa.string()), *((s, pa.float64()) for s in STATS)])
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         for k, t in zip(keys, texts):
@@ -39,7 +45,7 @@ def document_stats(df: DataFrame, key: str = "id", text: str = "content") -> Dat
             lang, stats = text_stats(t)
             yield (k, lang, kind_of(count), count["junk"] / max(1, sum(count.values())), *stats)
 
-    spec = f"`{key}` string, lang string, kind string, junk_lines double, " + ", ".join(f"{s} double" for s in STATS)
+    spec = f"`{key}` string, lang string, kind string, " + ", ".join(f"{s} double" for s in STATS)
     return df.select(F.col(key).cast("string").alias(key), F.col(text).alias(text)).mapInArrow(arrow_rows(rows, [key, text], schema), spec)
 
 
@@ -56,7 +62,9 @@ def stat_sketches(stats: DataFrame, only: tuple[str, ...] = STATS) -> DataFrame:
 def sketch_quantiles(sketches: DataFrame, only: tuple[str, ...] = STATS) -> DataFrame:
     """(lang, and for each statistic the array of its quartiles); a row for each language, so five rows at most."""
     cols = [F.when(F.coalesce(F.kll_sketch_get_n_double(s), F.lit(0)) > 0, F.kll_sketch_get_quantile_double(s, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))).alias(s) for s in only]
-    return sketches.select("lang", *cols)
+    found = sketches.select("lang", *cols)
+    rest = found.where("lang = 'und'").select(F.explode(F.array(*map(F.lit, STOP))).alias("lang"), *only)
+    return found.unionByName(rest.join(found.select("lang"), "lang", "left_anti"))
 
 
 def with_tails(stats: DataFrame, quantiles: DataFrame, only: tuple[str, ...] = STATS) -> DataFrame:
@@ -65,8 +73,8 @@ def with_tails(stats: DataFrame, quantiles: DataFrame, only: tuple[str, ...] = S
     joined = stats.join(q, "lang", "left")
 
     def z(s: str):
-        spread = (F.col(f"q_{s}")[2] - F.col(f"q_{s}")[0]) / 1.349
-        return F.coalesce(F.when(spread > 0, (F.col(s) - F.col(f"q_{s}")[1]) / spread), F.lit(0.0)).alias(f"z_{s}")
+        spread = F.greatest(F.coalesce((F.col(f"q_{s}")[2] - F.col(f"q_{s}")[0]) / 1.349, F.lit(0.0)), F.lit(LEAST_SPREAD[s]))
+        return ((F.col(s) - F.coalesce(F.col(f"q_{s}")[1], F.lit(0.0))) / spread).alias(f"z_{s}")
 
     scored = joined.select("*", *(z(s) for s in only)).drop(*(f"q_{s}" for s in only))
     tails = F.filter(F.array(*(F.when(F.abs(F.col(f"z_{s}")) > TAIL_Z, F.lit(s)) for s in only)), lambda x: x.isNotNull())
@@ -87,13 +95,14 @@ def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The statistics in whose tails junk lies.
-JUNK_STATS = ("mean_word", "symbol_ratio", "ended_lines", "common_share", "distinct_share", "longest_word", "digit_share")
+JUNK_STATS = ("junk_lines", "mean_word", "symbol_ratio", "ended_lines", "common_share", "distinct_share", "longest_word", "digit_share")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _chunks(spark, sf_dir)
     stats = cut(document_stats(df))
-    judged = with_tails(stats, sketch_quantiles(stat_sketches(stats, JUNK_STATS), JUNK_STATS), JUNK_STATS)
+    natural = stats.where("kind <> 'junk'")
+    judged = with_tails(stats, sketch_quantiles(stat_sketches(natural, JUNK_STATS), JUNK_STATS), JUNK_STATS)
     natures = judged.where(F.col("kind").isin("list", "table", "code") | (F.col("kind") == "junk") & (F.size("tails") > 0)).select("id", "kind")
     return natures.unionByName(miscounts(df).select("id", F.lit("miscount").alias("kind")))
 

@@ -138,7 +138,20 @@ def test_quality_operator(spark):
     scored = p5_quality.with_tails(stats, q).collect()
     assert len(scored) == 5 and all(r.z_words is not None for r in scored)
     assert p5_quality.with_tails(stats.limit(0), q).count() == 0
-    assert p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats.limit(0))).count() <= 1
+    assert p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats.limit(0))).count() <= 5
+
+
+@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
+def test_junk_lies_in_a_tail_however_much_there_is(spark, share):
+    good = "The office in the town pays for the lunch, and the list of the costs is in the box."
+    junk = ["Home | Back | Login | Menu | Top | Home | Print | Next", "read more a passage 1 " * 12, ". . . . . . . 12\n. . . . . . . . 33", "row loader index table cell vector query column report thread form score digest"]
+    n = int(20 * share)
+    rows = [(f"g{i}", good) for i in range(20 - n)] + [(f"j{i}", junk[i % 4]) for i in range(n)]
+    stats = p5_quality.document_stats(spark.createDataFrame(rows, "id string, content string")).cache()
+    only = p5_quality.JUNK_STATS
+    q = p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats.where("kind <> 'junk'"), only), only)
+    got = p5_quality.with_tails(stats, q, only).where("kind = 'junk' and size(tails) > 0")
+    assert {r.id for r in got.collect()} == {f"j{i}" for i in range(n)}
 
 
 def brute_leak(doc, item):
