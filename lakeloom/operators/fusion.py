@@ -107,16 +107,37 @@ def harmonic(hits: DataFrame, floor: float = 1e-4) -> DataFrame:
 
 def three_way(hits: DataFrame) -> DataFrame:
     """Linear over three lists: weights a, .6(1-a), .4(1-a) where the request has a third list, else a and 1-a."""
-    m = min_max(hits, 1.0)
-    has = F.max((F.col("list") == "splade").cast("int")).over(Window.partitionBy("request_id"))
-    m = m.withColumn("third", has)
+    m = min_max(_shares(hits), 1.0)
+    return m.groupBy("request_id", "id").agg(F.round(F.sum(F.col("share") * F.col("value")), 6).alias("score"))
+
+
+def _shares(hits: DataFrame) -> DataFrame:
+    """With ``share``, a list's weight: a, .6(1-a), .4(1-a) where the request has a third list, else a and 1-a."""
+    third = F.max((F.col("list") == "splade").cast("int")).over(Window.partitionBy("request_id")) == 1
     a = F.col("alpha")
-    w = F.when(F.col("list") == "vector", a).when(F.col("list") == "bm25", F.when(F.col("third") == 1, 0.6 * (1 - a)).otherwise(1 - a)).otherwise(0.4 * (1 - a))
-    return m.groupBy("request_id", "id").agg(F.round(F.sum(w * F.col("value")), 6).alias("score"))
+    return hits.withColumn("share", F.when(F.col("list") == "vector", a).when(F.col("list") == "bm25", F.when(third, 0.6 * (1 - a)).otherwise(1 - a)).otherwise(0.4 * (1 - a)))
+
+
+def softmax_service(hits: DataFrame, sharpness: float = 10.0) -> DataFrame:
+    """Softmax of the min-max scores of two or three lists."""
+    e = _softmax(min_max(_shares(hits), 1.0), 1 / sharpness, "value").drop("e")
+    return e.groupBy("request_id", "id").agg(F.round(F.sum(F.col("share") * F.col("value")), 6).alias("score"))
+
+
+def rrf_service(hits: DataFrame, k: int = RRF_K) -> DataFrame:
+    """Reciprocal ranks of two or three lists; an item that a list lacks ranks after its last, first in an empty list."""
+    r = ranked(hits)
+    of = lambda name, c: F.max(F.when(F.col("list") == name, F.col(c)))
+    sizes = r.groupBy("request_id").agg(*(F.coalesce(of(name, "n"), F.lit(0)).alias(f"n_{name}") for name in LISTS))
+    each = r.groupBy("request_id", "alpha", "id").agg(*(of(name, "rank").alias(f"r_{name}") for name in LISTS)).join(sizes, "request_id")
+    v, b, q = (1 / (k + F.coalesce(F.col(f"r_{name}"), F.col(f"n_{name}") + 1)) for name in LISTS)
+    rest = 1 - F.col("alpha")
+    score = F.col("alpha") * v + F.when(F.col("n_splade") > 0, rest * (0.6 * b + 0.4 * q)).otherwise(rest * b)
+    return each.select("request_id", "id", F.round(score, 6).alias("score"))
 
 
 METHODS = {"rrf": rrf, "linear": linear, "softmax": softmax, "logistic": logistic, "max": maximum, "harmonic": harmonic, "normalized": softmax}
-METHODS["ensemble"] = ensemble
+METHODS |= {"ensemble": ensemble, "rrf_service": rrf_service, "softmax_service": softmax_service}
 
 
 def fuse(hits: DataFrame, method: str | None) -> DataFrame:

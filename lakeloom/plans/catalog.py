@@ -270,6 +270,21 @@ _fusion(
   FROM (SELECT *, bool_or(list = 'splade') OVER (PARTITION BY request_id) AS third FROM s) GROUP BY request_id, id""",
     lambda s, d: fusion.three_way(_long(s, d, ("vector", "bm25", "splade"))),
 )
+_W3 = "CASE list WHEN 'vector' THEN alpha WHEN 'bm25' THEN CASE WHEN third THEN 0.6 * (1 - alpha) ELSE 1 - alpha END ELSE 0.4 * (1 - alpha) END"
+_S3 = f"SELECT *, bool_or(list = 'splade') OVER (PARTITION BY request_id) AS third, {_MM.format(c='1.0')} AS mm FROM s"
+_fusion(
+    "fuse_softmax_service",
+    f"{_LONG3} SELECT request_id, id, round(sum({_W3} * e), 6) AS score FROM (SELECT *, exp(10 * mm) / sum(exp(10 * mm)) OVER (PARTITION BY request_id, list) AS e FROM ({_S3})) GROUP BY request_id, id",
+    lambda s, d: fusion.softmax_service(_long(s, d, ("vector", "bm25", "splade"))),
+)
+_fusion(
+    "fuse_rrf_service",
+    f"""{_LONG3}, ids AS (SELECT DISTINCT request_id, alpha, id FROM s), z AS (SELECT request_id, bool_or(list = 'splade') AS third, coalesce(max(CASE WHEN list = 'vector' THEN n END), 0) AS nv, coalesce(max(CASE WHEN list = 'bm25' THEN n END), 0) AS nb, coalesce(max(CASE WHEN list = 'splade' THEN n END), 0) AS ns FROM s GROUP BY request_id),
+  p AS (SELECT i.request_id, i.alpha, i.id, third, 1 / (60 + coalesce(v.rank, nv + 1)) AS v, 1 / (60 + coalesce(b.rank, nb + 1)) AS b, 1 / (60 + coalesce(q.rank, ns + 1)) AS q FROM ids i JOIN z ON z.request_id = i.request_id
+    LEFT JOIN s v ON v.request_id = i.request_id AND v.id = i.id AND v.list = 'vector' LEFT JOIN s b ON b.request_id = i.request_id AND b.id = i.id AND b.list = 'bm25' LEFT JOIN s q ON q.request_id = i.request_id AND q.id = i.id AND q.list = 'splade')
+SELECT request_id, id, round(alpha * v + CASE WHEN third THEN (1 - alpha) * (0.6 * b + 0.4 * q) ELSE (1 - alpha) * b END, 6) AS score FROM p""",
+    lambda s, d: fusion.rrf_service(_long(s, d, ("vector", "bm25", "splade"))),
+)
 _fusion(
     "fuse_ensemble",
     f"""{_LONG2} SELECT request_id, id, round(sum(score) / 3, 6) AS score FROM ({_WEIGHTED.format(two=_two_sql(_MM.format(c='0.5')))} UNION ALL {_WEIGHTED.format(two=_two_sql('soft'))} UNION ALL {_WEIGHTED.format(two=_RRF_TWO)}) GROUP BY request_id, id""",
