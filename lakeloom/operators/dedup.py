@@ -55,20 +55,28 @@ def near_duplicates(docs: DataFrame, threshold: float = 0.85, kind: str = "token
     return similar_pairs(docs, X.words(c) if kind == "token" else X.char_shingles(c), threshold, key)
 
 
-def clusters(pairs: DataFrame, rounds: int = 50) -> DataFrame:
-    """(id, cluster): connected components by spreading the smallest label, with pointer jumping; each round is written."""
+def clusters(pairs: DataFrame) -> DataFrame:
+    """(id, cluster): connected components, named by their smallest id; the loop ends when no edge is left.
+
+    In each round every node hooks onto its smallest neighbour if that is smaller, and a smallest node that nobody hooked
+    onto does so too. This gives trees of two nodes at least; they are jumped flat and contracted, so nodes halve each round.
+    """
     edges = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
-    label = cut(edges.groupBy("x").agg(F.least(F.min("y"), F.first("x")).alias("label")).withColumnRenamed("x", "id"))
-    for _ in range(rounds):
-        near = edges.join(label.select(F.col("id").alias("y"), "label"), "y").groupBy(F.col("x").alias("id")).agg(F.min("label").alias("seen"))
-        own = label.join(near, "id", "left").select("id", "label", F.least("label", F.coalesce("seen", "label")).alias("next"))
-        jump = own.join(label.select(F.col("id").alias("next"), F.col("label").alias("over")), "next", "left")
-        new = cut(jump.select("id", "label", F.least("next", F.coalesce("over", "next")).alias("new")))
-        changed = new.where("label <> new").limit(1).count()
-        label = new.select("id", F.col("new").alias("label"))
-        if not changed:
-            break
-    return label.select("id", F.col("label").alias("cluster"))
+    label = edges.select(F.col("x").alias("id"), F.col("x").alias("label")).distinct()
+    edges = edges.where("x <> y")
+    while edges.limit(1).count():
+        least = cut(edges.groupBy("x").agg(F.min("y").alias("up")))
+        down = least.where("up < x")
+        up = cut(down.unionByName(least.where("up > x").join(down.select(F.col("up").alias("x")).distinct(), "x", "left_anti")))
+        while True:
+            over = cut(up.join(up.select(F.col("x").alias("up"), F.col("up").alias("over")), "up", "left").select("x", F.coalesce("over", "up").alias("up"), F.col("over").isNotNull().alias("moved")))
+            up = over.select("x", "up")
+            if not over.where("moved").limit(1).count():
+                break
+        root = lambda df, c: df.join(up.select(F.col("x").alias(c), F.col("up").alias("_up")), c, "left").withColumn(c, F.coalesce("_up", c)).drop("_up")  # noqa: E731, B023
+        label = cut(root(label, "label"))
+        edges = cut(root(root(edges, "x"), "y").where("x <> y").select("x", "y").distinct())
+    return label.join(label.groupBy("label").agg(F.min("id").alias("cluster")), "label").select("id", "cluster")
 
 
 def merge(docs: DataFrame, members: DataFrame, key: str = "id", text: str = "text", source: str = "source") -> DataFrame:

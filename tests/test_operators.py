@@ -268,6 +268,14 @@ def test_clusters_of_a_chain(spark):
     assert set(got.values()) == {0, 100} and len(got) == 43
 
 
+def test_clusters_of_a_long_shuffled_chain(spark):
+    ids = list(range(400))
+    random.Random(1).shuffle(ids)
+    star = [(1000 + i, 2000) for i in range(50)]
+    got = {r.id: r.cluster for r in dedup.clusters(spark.createDataFrame([*zip(ids, ids[1:]), *star, (3000, 3000)], "a long, b long")).collect()}
+    assert got == {i: 0 for i in ids} | {i: 1000 for p in star for i in p} | {3000: 3000}
+
+
 def test_minhash(spark):
     df = spark.createDataFrame([([str(i) for i in range(100)], [str(i) for i in range(10, 110)], [])], "a array<string>, b array<string>, e array<string>")
     r = df.select(dedup.signature_similarity(dedup.minhash(F.col("a"), 100), dedup.minhash(F.col("b"), 100)).alias("s"), dedup.signature_similarity(dedup.minhash(F.col("e"), 10), dedup.minhash(F.col("a"), 10)).alias("z")).first()
