@@ -1,10 +1,13 @@
 r"""Problem 2: duplicates hidden by formatting.
 
-A record's canonical key ignores white space, letter case and punctuation and, for records of
-``Field: value`` pairs (lines, one line with ``;`` or ``|``, JSON), the order of the fields. The
-ledger holds one row for each key: (bucket, key, copies, first_id). A batch is aggregated, full
-outer joined to the ledger on (bucket, key), counts are added and the earliest representative
-(smallest id) is kept. Both sides are partitioned alike, so a batch moves once, already aggregated.
+Each text has a plain key, of its letters and digits only, so that white space, letter case and punctuation don't
+count; a record of ``Field: value`` pairs (lines, one line with ``;``, ``|`` or ``,``, JSON) also has a record key, of its
+pairs in sorted order. Texts that share either key are copies, and so are texts that a third one links.
+The ledger holds one row for each pair of keys: (bucket, key, record, copies, first_id). A batch is aggregated, full
+outer joined to the ledger on the keys, counts are added and the earliest representative
+(smallest id) is kept. Both sides are partitioned alike, so a batch moves once, already aggregated. ``groups``
+links the ledger's rows: a plain key goes with its record key, and record keys that share a plain key are
+connected as components.
 
 Defined cases: null, empty and blank texts take no part. A text without any letter or digit is its
 own key without its white space. Equal ids count as often as they occur. An empty batch leaves the
@@ -16,12 +19,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.dedup import clusters
 from .common import JAVA_SPACE, cut, not_blank, table
 
 #: Buckets of the ledger; a batch touches only those it has keys in.
 BUCKETS = 256
-_FIELD = r"^\s*\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s*[^\s].*$"
-_LINE_FIELD = r"^\s*\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s+[^\s].*$"
+_NAME = r"^\s*(?:[-*+•‣·–—◦▪]\s+)?\*{0,3}\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?\*{0,3}\s?:"
+_FIELD = _NAME + r"\s*[^\s].*$"
+_LINE_FIELD = _NAME + r"\*{0,3}\s+[^\s].*$"
+#: The start of a text that any of the record forms may accept.
+_START = r"^[\s;|,]*(?:\{\s*\"|(?:[-*+•‣·–—◦▪]\s+)?\*{0,3}\p{L}[\p{L}\p{N}_\s\-]*\*{0,3}\s?:)"
 _JSON = r"(?s)^\s*\{\s*\"[^\"]*\"\s*:.*\}\s*$"
 
 
@@ -41,42 +48,54 @@ def _json_pairs(c: Column) -> Column:
     return F.array_join(F.array_sort(bare), "\u0002")
 
 
-def canonical_text(c: Column) -> Column:
-    """The canonical form of a text, as one string; null for null and blank texts."""
+def plain_text(c: Column) -> Column:
+    """The letters and digits of a text; null for null and blank texts."""
+    plain = _bare(c)
+    return F.when(not_blank(c), F.when(plain != "", plain).otherwise(F.concat(F.lit("\u0003"), F.regexp_replace(c, JAVA_SPACE, ""))))
+
+
+def record_text(c: Column) -> Column:
+    """The sorted pairs of a record; null for other texts."""
     text = F.regexp_replace(F.regexp_replace(c, r"\r", "\n"), r"[   -   　]", " ")
     lines = F.filter(F.split(text, r"\n"), lambda x: x.rlike(r"\S"))
     flat = F.regexp_replace(text, r"\s+", " ")
-    semi, pipe = (F.filter(F.split(flat, s), lambda x: x.rlike(r"\S")) for s in (";", r"\|"))
+    semi, pipe, comma = (F.filter(F.split(flat, s), lambda x: x.rlike(r"\S")) for s in (";", r"\|", ","))
     all_fields = lambda a, p: (F.size(a) > 1) & F.forall(a, lambda x: x.rlike(p))
-    plain = _bare(c)
-    plain = F.when(plain != "", plain).otherwise(F.concat(F.lit("\u0003"), F.regexp_replace(c, JAVA_SPACE, "")))
-    maybe = text.rlike(r"^\s*(?:\{\s*\"|\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?:\s)")
     record = (
         F.when(text.rlike(_JSON), _json_pairs(text))
         .when(all_fields(lines, _LINE_FIELD), _pairs(lines))
         .when(flat.contains(";") & all_fields(semi, _FIELD), _pairs(semi))
         .when(flat.contains("|") & all_fields(pipe, _FIELD), _pairs(pipe))
+        .when(flat.contains(",") & all_fields(comma, _FIELD), _pairs(comma))
     )
-    return F.when(not_blank(c), F.when(maybe, F.coalesce(record, plain)).otherwise(plain))
+    return F.when(text.rlike(_START), record)
+
+
+def canonical_text(c: Column) -> Column:
+    """The canonical form of a text, as one string, a record's where it is one; null for null and blank texts."""
+    return F.when(not_blank(c), F.coalesce(record_text(c), plain_text(c)))
 
 
 def keyed(df: DataFrame, id_col: str = "id", text: str = "content", also: tuple[str, ...] = ()) -> DataFrame:
-    """(bucket, key, id, ...): the canonical key is a SHA-256 of the canonical form."""
-    form = df.select(F.col(id_col).alias("id"), *also, canonical_text(F.col(text)).alias("form")).where("form is not null")
-    return form.select(F.unhex(F.sha2("form", 256)).alias("key"), "id", *also).select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key", "id", *also)
+    """(bucket, key, record, id, ...): SHA-256 of the plain form, and of the record form or null."""
+    c = F.col(text)
+    form = df.select(F.col(id_col).alias("id"), *also, plain_text(c).alias("form"), record_text(c).alias("pairs")).where("form is not null")
+    hashed = form.select(F.unhex(F.sha2("form", 256)).alias("key"), F.unhex(F.sha2("pairs", 256)).alias("record"), "id", *also)
+    return hashed.select(F.pmod(F.xxhash64("key"), F.lit(BUCKETS)).cast("int").alias("bucket"), "key", "record", "id", *also)
 
 
 def batch_counts(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("bucket", "key").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
+    return keys.groupBy("bucket", "key", "record").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
 
 
 def merge_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
     """The ledger after a batch of keys; only counts and representatives move."""
     old, new = ledger.alias("o"), batch_counts(batch).alias("n")
-    both = old.join(new, (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")), "full_outer")
+    both = old.join(new, (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")) & F.col("o.record").eqNullSafe(F.col("n.record")), "full_outer")
     return both.select(
         F.coalesce("o.bucket", "n.bucket").alias("bucket"),
         F.coalesce("o.key", "n.key").alias("key"),
+        F.coalesce("o.record", "n.record").alias("record"),
         (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"),
         F.least("o.first_id", "n.first_id").alias("first_id"),
     )
@@ -103,19 +122,31 @@ def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cut(keyed(table(spark, sf_dir, "simulated_vector_db").select("id", "content", "ingested_at"), also=("ingested_at",)))
 
 
+def groups(ledger: DataFrame) -> DataFrame:
+    """(bucket, key, group, copies, first_id): each plain key with its group, and that group's count and representative."""
+    ends = ledger.groupBy("bucket", "key").agg(F.sum("copies").alias("n"), F.min("first_id").alias("first"), F.min("record").alias("record"), F.max("record").alias("last"))
+    ends = cut(ends)
+    several = ends.where("record <> last").select("bucket", "key", F.col("record").alias("a"))
+    links = several.join(ledger.select("bucket", "key", F.col("record").alias("b")), ["bucket", "key"]).where("a <> b").select("a", "b")
+    parts = clusters(links).select(F.col("id").alias("record"), "cluster")
+    named = ends.join(parts, "record", "left").select("bucket", "key", F.coalesce("cluster", "record", "key").alias("group"), "n", "first")
+    whole = named.groupBy("group").agg(F.sum("n").alias("copies"), F.min("first").alias("first_id"))
+    return named.select("bucket", "key", "group").join(whole, "group").select("bucket", "key", "group", "copies", "first_id")
+
+
 def copies(keys: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(first_id, copy_id) for each record that is not its key's representative."""
-    more = ledger.where("copies > 1").select("bucket", "key", "first_id")
+    """(first_id, copy_id) for each record that is not its group's representative."""
+    more = groups(ledger).where("copies > 1").select("bucket", "key", "first_id")
     return keys.select("bucket", "key", F.col("id").alias("copy_id")).join(more, ["bucket", "key"]).where("copy_id <> first_id").select("first_id", "copy_id")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(spark, sf_dir)
-    return copies(keys, build_ledger(keys))
+    return copies(keys, cut(build_ledger(keys)))
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_ledger(_keys(spark, sf_dir)).select("first_id", "copies")
+    return groups(cut(build_ledger(_keys(spark, sf_dir)))).select("group", "first_id", "copies").distinct().select("first_id", "copies")
 
 
 QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger}

@@ -38,6 +38,17 @@ def test_ledger_adds_batches(spark):
     assert p2_ledger.merge_ledger(empty, keys).count() == 7 and p2_ledger.merge_ledger(ledger, keys.limit(0)).count() == 7
 
 
+def test_records_meet_equal_plain_texts(spark):
+    same = ["Name: Anna\nCity: Rome", "Name: Anna City: Rome", "name: anna, city: rome", "- **Name:** Anna\n- **City:** Rome", "Name: An\nna\nCity: Rome", "City:Rome; Name:Anna", '{"City": "Rome", "Name": "Anna"}', "City: Rome, Name: Anna", "; City: Rome; Name: Anna"]
+    other = ["Name: Rome\nCity: Anna", "City: Rome Name: Anna Maria"]
+    chain = ["A: x y\nB: z", "A: x, y B: z", "A: x\ny B: z", "y B: z | A: x", "B: z; A: x y"]
+    df = spark.createDataFrame([(f"{g}{i}", x) for g, xs in zip("soc", (same, other, chain)) for i, x in enumerate(xs)], "id string, content string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
+    keys = p2_ledger.keyed(df, also=("ingested_at",)).cache()
+    ledger = p2_ledger.build_ledger(keys)
+    assert {(r.first_id, r.copy_id) for r in p2_ledger.copies(keys, ledger).collect()} == {("s0", f"s{i}") for i in range(1, len(same))} | {("c0", f"c{i}") for i in range(1, len(chain))}
+    assert sorted(r.copies for r in p2_ledger.groups(ledger).select("group", "copies").distinct().collect()) == [1, 1, len(chain), len(same)]
+
+
 def texts(rng, n):
     vocabulary = [f"w{i}" for i in range(400)]
     out = []
