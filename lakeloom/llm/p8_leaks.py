@@ -9,7 +9,14 @@ has leaked into a document if
 
 * a run, or runs that together cover successive words of the item, have at least ``SUCCESSIVE`` words, or
 * the longest common subsequence of the item and one stretch of the document (``STRETCH`` times its
-  length) has at least ``SHARE`` of its words.
+  length and ``SLACK`` words) has at least ``SHARE`` of its words.
+
+For the second, windows are no guide, as changed words may leave none. An item's rarest words are filed instead: of
+its places all but ``1 - SHARE`` must be met, so of that many rarest and ``SURE`` more, ``SURE`` must be. Of what they
+select, stretches that hold enough of the item's words in any order are looked for, and only there is the
+subsequence computed. None of these steps loses a case.
+
+Parts of a run have ``WINDOW`` words at least; shorter ones are everywhere and say nothing.
 
 The documents are scanned once, without shuffle; the test items (a held-out set of bounded size,
 ``MAX_ITEMS`` at most, checked) go to every task. Defined cases: null and blank texts contain nothing;
@@ -20,8 +27,9 @@ in a document is one row. Markup and line layout are dropped from the documents
 from __future__ import annotations
 
 import html
+import math
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -34,6 +42,9 @@ WINDOW = 4
 SUCCESSIVE = 12
 SHARE = 0.8
 STRETCH = 1.5
+SLACK = 4
+#: Share of an item's words that its rarest places must show besides those that may be missing.
+SURE = 0.3
 MAX_ITEMS = 100_000
 WORDS = re.compile(r"\w+")
 _URL = re.compile(r"\]\([^()\s]*\)")
@@ -60,7 +71,7 @@ def plain_words(text: str) -> list[str]:
 
 
 class Patterns:
-    """Shift table, buckets and items of the test set."""
+    """Shift table, buckets, rare words and items of the test set."""
 
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(case, w) for case, text in items if text and len(w := WORDS.findall(text.lower())) >= WINDOW]
@@ -77,6 +88,16 @@ class Patterns:
                     pair = window[p - 1] * self.size + window[p]
                     self.shift[pair] = min(self.shift.get(pair, WINDOW), WINDOW - 1 - p)
                 self.bucket[window[-2] * self.size + window[-1]].setdefault(window, []).append((k, j))
+        self.counts = [Counter(words) for words in self.coded]
+        self.need = [math.ceil(SHARE * len(words) - 1e-9) for words in self.coded]
+        self.sure: list[int] = []
+        self.rare: dict[int, list[tuple[int, int]]] = defaultdict(list)
+        items_with = Counter(w for words in self.counts for w in words)
+        for k, words in enumerate(self.coded):
+            self.sure.append(max(1, int(SURE * len(words))))
+            places = sorted(words, key=lambda w: (items_with[w], w))[: len(words) - self.need[k] + self.sure[k]]
+            for w, n in Counter(places).items():
+                self.rare[w].append((k, n))
 
     def occurrences(self, words: list[int]) -> dict[int, list[tuple[int, int]]]:
         """Item -> (place in the document, place in the item) of each window found."""
@@ -102,9 +123,19 @@ class Patterns:
         """The items that leaked into a text."""
         get = self.ids.get
         words = [get(w, 0) for w in plain_words(text)]
-        for k, places in self.occurrences(words).items():
-            if self._covers(places) or self._close(words, k, places):
-                yield self.items[k][0]
+        found = {k for k, places in self.occurrences(words).items() if self._covers(places)}
+        found.update([k for k in self._candidates(words) if k not in found and self._close(words, k)])
+        for k in sorted(found):
+            yield self.items[k][0]
+
+    def _candidates(self, words: list[int]) -> list[int]:
+        """The items of whose rarest words the text has enough."""
+        hits: dict[int, int] = defaultdict(int)
+        rare = self.rare
+        for w in set(words):
+            for k, n in rare.get(w, ()):
+                hits[k] += n
+        return [k for k, n in hits.items() if n >= self.sure[k]]
 
     @staticmethod
     def _covers(places: list[tuple[int, int]]) -> bool:
@@ -117,22 +148,31 @@ class Patterns:
                 return True
         return False
 
-    def _close(self, words: list[int], k: int, places: list[tuple[int, int]]) -> bool:
+    def _close(self, words: list[int], k: int) -> bool:
         """Whether one stretch holds enough of the item's words in their order."""
-        item = self.coded[k]
-        n = len(item)
-        if len({j for _, j in places}) * 8 < n * SHARE:  # fewer windows than single changes can leave
+        item, room, need = self.coded[k], self.counts[k], self.need[k]
+        span = int(STRETCH * len(item)) + SLACK
+        at = [i for i, w in enumerate(words) if w in room]
+        if len(at) < need:
             return False
-        need = SHARE * n - 1e-9
-        length = int(STRETCH * n)
-        tried: set[int] = set()
-        for i, j in places:
-            at = (i - j) // max(1, n // 8)
-            if at in tried:
-                continue
-            tried.add(at)
-            start = max(0, i - int(STRETCH * j) - 2)
-            if _common(item, words[start : start + length + 4]) >= need:
+        held: dict[int, int] = dict.fromkeys(room, 0)
+        bag = first = 0
+        ends: list[int] = []  # of stretches with enough of the words in any order
+        for i in at:
+            w = words[i]
+            bag += held[w] < room[w]
+            held[w] += 1
+            while i - at[first] >= span:
+                w = words[at[first]]
+                held[w] -= 1
+                bag -= held[w] < room[w]
+                first += 1
+            if bag >= need:
+                ends.append(i + 1)
+        while ends:  # stretches that overlap are tried as a whole first
+            n = next((j for j in range(1, len(ends)) if ends[j] - ends[j - 1] >= span), len(ends))
+            some, ends = ends[:n], ends[n:]
+            if _common(item, words[max(0, some[0] - span) : some[-1]]) >= need and any(_common(item, words[max(0, e - span) : e]) >= need for e in some):
                 return True
         return False
 

@@ -177,6 +177,41 @@ def test_leaks_against_brute_force():
         assert exact <= set(find.leaked(text))
 
 
+def longest_common(a, b):
+    row = [0] * (len(b) + 1)
+    for x in a:
+        new = [0]
+        for j, y in enumerate(b):
+            new.append(row[j] + 1 if x == y else max(new[j], row[j + 1]))
+        row = new
+    return row[-1]
+
+
+def test_close_leaks_against_brute_force():
+    rng = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(80)]
+    items = [(k, rng.choices(vocabulary, k=rng.choice([4, 5, 9, 12, 15, 20, 25]))) for k in range(20)]
+    find = p8_leaks.Patterns([(k, " ".join(w)) for k, w in items])
+    hits = no_window = 0
+    for _ in range(250):
+        _, w = rng.choice(items)
+        edited = list(w)
+        for i in rng.sample(range(len(w)), int(len(w) * rng.choice([0.1, 0.2, 0.3]))):
+            edited[i] = rng.choice(["other", "", rng.choice(vocabulary)])
+        for _ in range(rng.randint(0, len(w) // 3)):
+            edited.insert(rng.randint(0, len(edited)), rng.choice(["more", *vocabulary]))
+        doc = [*rng.choices(vocabulary, k=rng.randint(0, 40)), *filter(None, edited), *rng.choices(vocabulary, k=rng.randint(0, 40))]
+        got = set(find.leaked(" ".join(doc)))
+        for k, item in items:
+            n = int(1.5 * len(item)) + 4
+            close = any(longest_common(item, doc[i : i + n]) >= 0.8 * len(item) - 1e-9 for i in range(max(1, len(doc) - n + 1)))
+            exact = brute_leak(" ".join(doc), " ".join(item))
+            assert close <= (k in got) and (k not in got or close or exact or len(item) >= 12)
+            hits += close
+            no_window += close and not any(doc[i : i + 4] == item[j : j + 4] for i in range(len(doc) - 3) for j in range(len(item) - 3))
+    assert hits > 100 and no_window > 10
+
+
 def test_leak_forms(spark):
     item = "Neither inspectors nor Delalith could trace the seasonal stipend numbered 4157 last seen in Orvale on the ninth of May by the old harbour wall"
     w = item.split()
