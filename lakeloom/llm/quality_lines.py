@@ -31,7 +31,7 @@ FIELD_LINE = re.compile(r"^\s*[^\W\d_][\w -]{0,40}?\s?:\s+\S")
 FIELD_PART = re.compile(r"^\s*[^\W\d_][\w -]{0,40}?\s?:\s*\S")
 NUMBERISH = re.compile(r"^[^\w]*[\d][\d.,:%/-]*[^\w]*$")
 ROW_PIPES = re.compile(r"^\s*\|.*\|")
-CSV_ROW = re.compile(r"^[^,;]{0,60}(?:,(?! )[^,]{0,60}){1,}$")
+CSV_ROW = re.compile(r"^[^,;]*(?:,(?! )[^,]*)+$")
 SENTENCE_END = re.compile(r"[.!?;:…](?:[\"')\]]*)(?:\s|$)")
 JSON_RECORD = re.compile(r'^\s*\[?\s*\{\s*"[^"]+"\s*:')
 TABLE_OPEN, TABLE_CLOSE = re.compile(r"<table\b|^\s*\{\||\\begin\{(?:tabular|longtable|array)", re.I), re.compile(r"</table|^\s*\|\}|\\end\{(?:tabular|longtable|array)", re.I)
@@ -66,17 +66,22 @@ def _columns(fields: list[str] | None) -> int:
     return 2 if 3 * sum(1 for x in fields if NUMBERISH.match(x)) >= len(fields) else 1
 
 
+def _short_values(parts: list[str]) -> bool:
+    """Whether at least half of the parts are short; the other values may have any length."""
+    return 2 * sum(1 for x in parts if len(x) < 120 or len(x.split()) <= 20) >= len(parts)
+
+
 def is_record(text: str) -> bool:
     """One record of ``Field: value`` pairs in one line or as JSON, or several in lines."""
     if JSON_RECORD.match(text) and text.rstrip().endswith(("}", "]")):
         return True
     lines = [x for x in text.split("\n") if x.strip()]
-    if len(lines) > 1 and all(FIELD_LINE.match(x) and len(x) < 120 for x in lines):
+    if len(lines) > 1 and all(map(FIELD_LINE.match, lines)) and _short_values(lines):
         return True
     flat = " ".join(text.split())
     for sep in (";", "|"):
         parts = [x for x in flat.split(sep) if x.strip()]
-        if len(parts) > 1 and all(FIELD_PART.match(x) and len(x) < 120 for x in parts):
+        if len(parts) > 1 and all(map(FIELD_PART.match, parts)) and _short_values(parts):
             return True
     return False
 
@@ -85,7 +90,7 @@ def _noise(s: str) -> bool:
     """A line of symbols: more signs than letters and digits, or leaders before a page number."""
     solid = len(s.replace(" ", ""))
     signs = solid - sum(map(str.isalnum, s))
-    return 2 * signs > solid and solid >= 3 or signs * 3 > solid and len(s) < 400 and bool(LEADER.search(s))
+    return 2 * signs > solid and solid >= 3 or signs * 3 > solid and bool(LEADER.search(s[-200:]))
 
 
 _MIXED = re.compile(r"[A-Za-z0-9][^\w\s.,'’/:@-]+[A-Za-z0-9]|[^\w\s.,;:!?()'\"-]{2,}|[.,;:!|~^]{2,}|(?<!\S)[|~^;:,!.]+\w|\w[|~^]")
@@ -97,6 +102,12 @@ def _scrambled(s: str) -> bool:
     return 3 * len(_MIXED.findall(s)) >= len(s.split())
 
 
+def _running(s: str) -> bool:
+    """Whether a fifth of the words are function words, as in sentences."""
+    words = WORDS.findall(s.lower())
+    return 5 * sum(1 for x in words if x in ANY_STOP) >= len(words)
+
+
 def kinds_of_lines(text: str) -> tuple[Counter, str]:
     """How many of the non-blank lines are of each nature, and the pooled text of those that are text."""
     count: Counter = Counter()
@@ -157,17 +168,22 @@ def kinds_of_lines(text: str) -> tuple[Counter, str]:
         elif s.startswith("|") and (s.endswith("|") and len(s) > 2 or s.startswith(("|-", "|}", "||"))) or s.startswith("!") and "!!" in s:
             kinds[i] = "table"
         else:
-            f = _fields(x) if len(s) < 400 else None
-            shapes[i] = 0 if f and ("|" in s or ";" in s) and _scrambled(s) else _columns(f)
+            f = _fields(x)
+            shapes[i] = 0 if f and ("|" in s and _scrambled(s) or ";" in s and _scrambled(" ".join(f))) else _columns(f)
             rest.append((i, s))
     several = sum(1 for x in shapes if x) > 1 or "table" in kinds
     for i, _ in rest:  # rows of values, and the headers beside them; one row alone is no table
         if several and (shapes[i] == 2 or shapes[i] == 1 and any(0 <= j < len(lines) and (shapes[j] == 2 or kinds[j] == "table") for j in (i - 1, i + 1))):
             kinds[i] = "table"
-    fields = [i for i, s in rest if not kinds[i] and FIELD_LINE.match(s) and len(s) < 100 and not (s.endswith(".") and len(s.split()) > 8)]
+    named = [(i, s) for i, s in rest if not kinds[i] and FIELD_LINE.match(s)]
+    fields = [i for i, s in named if not (s.endswith(".") and len(s.split()) > 8) and (len(s) < 100 or not _running(s))]
     if len(fields) >= 2:
         for i in fields:
             kinds[i] = "table"
+        if 2 * len(fields) >= len(named):  # a record with some long values
+            for i, s in named:
+                if len(s) >= 100:
+                    kinds[i] = "table"
     pooled = [s for i, s in rest if not kinds[i]]
     text = "\n".join(pooled)
     count.update(k for k in kinds if k)

@@ -103,6 +103,35 @@ def test_kind(text, kind):
     assert Q.kind_of(Q.kinds_of_lines(text)[0]) == kind
 
 
+WIDE = [f"{i}.5" for i in range(900)]
+PROSE, MORE = (" ".join(f"the keeper{i} of house{i} wrote that gate{i} was late and" for i in r) for r in (range(60), range(60, 120)))
+MINIFIED = "var a={b:1,c:[2,3]};function f(x){return x<a.b?f(x+1):[x,a.c]};" * 60
+
+
+@pytest.mark.parametrize(
+    "text, kind",
+    [
+        *((sep.join(["name", *WIDE]) + "\n" + sep.join(["x", *WIDE]), "table") for sep in ("\t", "   ", ",", ";")),
+        (f"Owner: x; City: y; Notes: {PROSE}", "table"),
+        (f"Owner: x\nCity: y\nNotes: {PROSE}", "table"),
+        (f"The house\nOwner: x\nCity: y\nUnit: 4\nNotes: {PROSE}", "table"),
+        (f"The values\nFirst: {' '.join(WIDE)}\nSecond: {' '.join(WIDE)}", "table"),
+        (MINIFIED + "\n" + MINIFIED, "code"),
+        (f"data = [{', '.join(WIDE)}]\nother = [{', '.join(WIDE)}]", "code"),
+        (PROSE + ".\n" + MORE + ".", "prose"),
+        (f"Note: {PROSE}.\nThen: {MORE}.", "prose"),
+        (f"He said; {PROSE};\nand then; {MORE};", "prose"),
+    ],
+)
+def test_kind_of_long_lines(text, kind):
+    assert Q.kind_of(Q.kinds_of_lines(text)[0]) == kind
+
+
+def test_literals_in_long_code_lines_are_no_markup():
+    line = MINIFIED + 'g("<b>x</b>");'
+    assert M.languages(line + "\n" + line) == set()
+
+
 def frame(spark, texts, extra=True):
     rows = [(f"d{i}", t, i) for i, t in enumerate(texts)]
     return spark.createDataFrame(rows, "id string, content string, kind int" if extra else "id string, content string, n int")
