@@ -93,26 +93,51 @@ def html_cells(text: str | None) -> tuple[list[Cell], dict[int, str]]:
 _SPAN = re.compile(r"\s*\*\((?:rowspan=(\d+))?(?:,\s*)?(?:colspan=(\d+))?\)\*\s*$")
 
 
+_RULE = re.compile(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?$")
+
+
+def markdown_tables(lines: list[str]) -> list[tuple[int, int, int]]:
+    """(start, rule, end) of each Markdown table: successive lines with a pipe around the first rule among them."""
+    out: list[tuple[int, int, int]] = []
+    start, rule = 0, None
+    for i, x in enumerate([*lines, ""]):
+        if "|" not in x:
+            if rule is not None:
+                out.append((start, rule, i))
+            start, rule = i + 1, None
+        elif i and rule is None and _RULE.match(x):
+            rule = i
+    return out
+
+
+def markdown_rows(text: str | None) -> list[tuple[int, str]]:
+    """(row_index, chunk): each data row of a document's Markdown tables below the lines that lead to its own table's rule.
+
+    Lines with a pipe between two tables are rows of the first.
+    """
+    lines = (text or "").split("\n")
+    found = markdown_tables([x.strip() for x in lines])
+    out: list[tuple[int, str]] = []
+    last = 0
+    for (start, rule, end), after in zip(found, [*(t[0] for t in found[1:]), len(lines)]):
+        above = [x for x in lines[last:start] if x.strip() and not (last and "|" in x)]
+        head = "\n".join([*above, *lines[start : rule + 1]])
+        for x in lines[rule + 1 : after]:
+            if "|" in x:
+                out.append((len(out), f"{head}\n{x}"))
+        last = end
+    return out
+
+
 def markdown_cells(text: str | None) -> list[Cell]:
-    """Cells of the first Markdown table; the rows above its rule are headers."""
+    """Cells of all Markdown tables of a document, numbered; the rows above a table's rule are its headers."""
     lines = [x.strip() for x in (text or "").split("\n")]
-    rule = next((i for i, x in enumerate(lines) if i and re.match(r"^\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?$", x) and "|" in x), None)
-    if rule is None:
-        return []
-    start = rule
-    while start and "|" in lines[start - 1]:
-        start -= 1
     out: list[Cell] = []
-    row = 0
-    for i in range(start, len(lines)):
-        if i == rule:
-            continue
-        if "|" not in lines[i]:
-            break
-        for c, x in enumerate(y.strip() for y in lines[i].strip("|").split("|")):
-            m = _SPAN.search(x)
-            out.append((0, row, c, int(m[1] or 1) if m else 1, int(m[2] or 1) if m else 1, i < rule, x[: m.start()] if m else x, -1))
-        row += 1
+    for table, (start, rule, end) in enumerate(markdown_tables(lines)):
+        for row, i in enumerate(i for i in range(start, end) if i != rule):
+            for c, x in enumerate(y.strip() for y in lines[i].strip("|").split("|")):
+                m = _SPAN.search(x)
+                out.append((table, row, c, int(m[1] or 1) if m else 1, int(m[2] or 1) if m else 1, i < rule, x[: m.start()] if m else x, -1))
     return out
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import chunks as C
+from ..functions import tables as T
+from .tables import _each
 
 
 def chunk(docs: DataFrame, method: str = "adaptive", most: int = 1000, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
@@ -31,14 +33,9 @@ def chunk(docs: DataFrame, method: str = "adaptive", most: int = 1000, key: str
 
 
 def table_row_chunks(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, row_index, content): each data row of a Markdown table below its header lines. In the JVM."""
-    lines = F.filter(F.split(F.col(text), "\n"), lambda x: x.rlike(r"\S"))
-    is_rule = lambda x: x.rlike(r"^\s*\|?\s*:?-{3,}:?\s*(?:\|\s*:?-{3,}:?\s*)*\|?\s*$") & x.contains("|")
-    at = F.array_position(F.transform(lines, lambda x, i: is_rule(x) & (i > 0)), F.lit(True))
-    t = docs.select(F.col(key).alias("key"), lines.alias("lines"), at.cast("int").alias("at")).where("at > 0")
-    body = F.filter(F.slice("lines", F.col("at") + 1, F.greatest(F.lit(0), F.size("lines") - F.col("at"))), lambda x: x.contains("|"))
-    rows = t.select("key", F.array_join(F.slice("lines", F.lit(1), F.col("at")), "\n").alias("head"), F.posexplode(body).alias("row_index", "row"))
-    return rows.select(F.col("key").alias(key), "row_index", F.concat("head", F.lit("\n"), "row").alias("content"))
+    """(key, row_index, content): each data row of the Markdown tables below the header lines of its table; only documents with a rule go to Python."""
+    has = docs.where(F.col(text).contains("|") & F.col(text).contains("---"))
+    return _each(has, key, text, T.markdown_rows, ["row_index", "content"], [pa.int32(), pa.string()], "row_index int, content string")
 
 
 def boundary_breaks(spans: DataFrame, chunks: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -93,6 +93,16 @@ def test_html_cells_resolve_spans():
     assert T.row_chunks(cells, "Meals")[0].endswith("| 1 | 2 | 3 |")
 
 
+def test_several_markdown_tables(spark):
+    one, two, three = "| a | b |\n|---|---|\n| 1 | 2 |", "c | d\n--- | ---\n3 | 4\n5 | 6", "| e |\n|---|\n| 7 |"
+    md = f"first\n{one}\n\n{two}\nthen\n\n{three}\nend"
+    df = spark.createDataFrame([(1, md), (2, "x"), (3, None)], "doc_id long, text string")
+    cells = [(r.table, r.row, r.col, r.is_header, r.cell) for r in tables.markdown_cells(df).orderBy("table", "row", "col").collect()]
+    assert cells == [(0, 0, 0, True, "a"), (0, 0, 1, True, "b"), (0, 1, 0, False, "1"), (0, 1, 1, False, "2"), (1, 0, 0, True, "c"), (1, 0, 1, True, "d"), (1, 1, 0, False, "3"), (1, 1, 1, False, "4"), (1, 2, 0, False, "5"), (1, 2, 1, False, "6"), (2, 0, 0, True, "e"), (2, 1, 0, False, "7")]
+    rows = [r.content for r in chunking.table_row_chunks(df).orderBy("row_index").collect()]
+    assert rows == [f"first\n{one}", "c | d\n--- | ---\n3 | 4", "c | d\n--- | ---\n5 | 6", f"then\n{three}"]
+
+
 def test_nested_and_odd_tables():
     cells, _ = T.html_cells("<table><tr><td>x<table><tr><td>y</td></tr></table></td></tr></table>")
     assert {(c[0], c[6], c[7]) for c in cells} == {(0, "x", -1), (1, "y", 0)}
