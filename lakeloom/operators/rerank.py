@@ -31,17 +31,27 @@ def _per_query(hits: DataFrame, order: Callable[[pd.DataFrame], list[tuple[int,
     return hits.groupBy("query_id").applyInPandas(run, schema)
 
 
-def _unit(pdf: pd.DataFrame) -> np.ndarray:
-    x = np.array([np.asarray(v, float) for v in pdf.vector])
+def _vectors(pdf: pd.DataFrame, size: int | None = None) -> np.ndarray:
+    """The hits' vectors of ``size`` components, by default as many as the longest has; zeros for null, shorter, longer and non-finite ones."""
+    own = [np.asarray([] if v is None else v, float) for v in pdf.vector]
+    size = size or max(map(len, own), default=0)
+    return np.array([v if len(v) == size and np.isfinite(v).all() else np.zeros(size) for v in own])
+
+
+def _unit(pdf: pd.DataFrame, size: int | None = None) -> np.ndarray:
+    x = _vectors(pdf, size)
     n = np.linalg.norm(x, axis=1, keepdims=True)
     return np.divide(x, n, out=np.zeros_like(x), where=n > 0)
 
 
-def mmr(hits: DataFrame, trade: float = 0.5, k: int | None = None) -> DataFrame:
-    """Maximal marginal relevance: ``trade * score - (1 - trade) * max cosine to those chosen``; the first is the best score, ties the earlier hit."""
+def mmr(hits: DataFrame, trade: float = 0.5, k: int | None = None, size: int | None = None) -> DataFrame:
+    """Maximal marginal relevance: ``trade * score - (1 - trade) * max cosine to those chosen``; the first is the best score, ties the earlier hit.
+
+    A hit without a usable vector (of ``size`` finite components) has similarity 0 to all others.
+    """
 
     def order(pdf: pd.DataFrame) -> list[tuple[int, float]]:
-        x, s = _unit(pdf), pdf.score.to_numpy(float)
+        x, s = _unit(pdf, size), pdf.score.to_numpy(float)
         left, chosen, worst = list(range(len(s))), [], np.full(len(s), -np.inf)
         while left and len(chosen) < (k or len(s)):
             value = s if not chosen else trade * s - (1 - trade) * worst
@@ -58,8 +68,8 @@ def mmr_service(hits: DataFrame, trade: float = 0.7) -> DataFrame:
     """``trade * cos(query, item) + (1 - trade) * min distance to those chosen``; then scores blend with the new places."""
 
     def order(pdf: pd.DataFrame) -> list[tuple[int, float]]:
-        x = _unit(pdf)
         q = np.asarray(pdf.query_vector[0], float)
+        x = _unit(pdf, len(q))
         q = q / (np.linalg.norm(q) or 1)
         rel, s = x @ q, pdf.score.to_numpy(float)
         left, chosen, near = list(range(len(s))), [], np.full(len(s), np.inf)
@@ -75,12 +85,11 @@ def mmr_service(hits: DataFrame, trade: float = 0.7) -> DataFrame:
     return _per_query(hits.select("query_id", "id", "score", "vector", "query_vector"), order)
 
 
-def cluster_diversity(hits: DataFrame, clusters: int = 3, seed: int = 42) -> DataFrame:
-    """K-means over a query's hits, then one hit of each cluster in turn, best first."""
+def cluster_diversity(hits: DataFrame, clusters: int = 3, seed: int = 42, size: int | None = None) -> DataFrame:
+    """K-means over a query's hits, then one hit of each cluster in turn, best first. Hits without a usable vector are the last cluster."""
 
-    def order(pdf: pd.DataFrame) -> list[tuple[int, float]]:
-        x, s = np.array([np.asarray(v, float) for v in pdf.vector]), pdf.score.to_numpy(float)
-        k = max(1, min(clusters, len(s) // 2))
+    def means(x: np.ndarray) -> np.ndarray:
+        k = max(1, min(clusters, len(x) // 2))
         rng = np.random.default_rng(seed)
         centre = x[np.sort(rng.choice(len(x), k, replace=False))]
         for _ in range(25):
@@ -89,6 +98,14 @@ def cluster_diversity(hits: DataFrame, clusters: int = 3, seed: int = 42) -> Dat
             if np.allclose(new, centre):
                 break
             centre = new
+        return at
+
+    def order(pdf: pd.DataFrame) -> list[tuple[int, float]]:
+        x, s = _vectors(pdf, size), pdf.score.to_numpy(float)
+        full = np.flatnonzero(x.any(axis=1))
+        at = np.full(len(s), clusters)
+        if len(full):
+            at[full] = means(x[full])
         turn = [int((at[:i] == at[i]).sum()) for i in range(len(s))]
         return [(i, float(s[i])) for i in sorted(range(len(s)), key=lambda i: (turn[i], at[i], i))]
 

@@ -323,12 +323,12 @@ def context_packing_skipping(spark, d):
 
 @query()
 def rerank_mmr(spark, d):
-    return rerank.mmr(_hits(spark, d).where(F.size("vector") == 20))
+    return rerank.mmr(_hits(spark, d), size=20)
 
 
 @query()
 def rerank_clusters(spark, d):
-    return rerank.cluster_diversity(_hits(spark, d).where((F.size("vector") == 20) & F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x))))
+    return rerank.cluster_diversity(_hits(spark, d), size=20)
 
 
 @query(f"""{_LONG2}, lin AS ({_WEIGHTED.format(two=_two_sql(_MM.format(c='0.5')))}),

@@ -93,6 +93,18 @@ def test_html_cells_resolve_spans():
     assert T.row_chunks(cells, "Meals")[0].endswith("| 1 | 2 | 3 |")
 
 
+def test_reranking_keeps_hits_without_vectors(spark):
+    nan = float("nan")
+    vectors = [[1.0, 0.0], [1.0, 0.01], None, [nan, 1.0], [1.0], [0.0, 1.0], [None, 1.0], [float("inf"), 0.0], []]
+    rows = [("q", f"h{i}", 1 - i / 100, v) for i, v in enumerate(vectors)] + [("none", "x", 2.0, None), ("none", "y", 1.0, [1.0])]
+    df = spark.createDataFrame(rows, "query_id string, id string, score double, vector array<double>")
+    for got in (rerank.mmr(df, size=2).collect(), rerank.cluster_diversity(df, size=2).collect()):
+        assert sorted((r.query_id, r.id) for r in got) == sorted((q, i) for q, i, _, _ in rows)
+        assert [r.id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == "none"] == ["x", "y"]
+    order = [r.id for r in rerank.mmr(df.where("query_id = 'q'"), size=2).orderBy("rank").collect()]
+    assert order == ["h0", "h2", "h3", "h4", "h5", "h6", "h7", "h8", "h1"]
+
+
 def test_several_markdown_tables(spark):
     one, two, three = "| a | b |\n|---|---|\n| 1 | 2 |", "c | d\n--- | ---\n3 | 4\n5 | 6", "| e |\n|---|\n| 7 |"
     md = f"first\n{one}\n\n{two}\nthen\n\n{three}\nend"
