@@ -89,8 +89,8 @@ def section_of(c: Column) -> Column:
 
 
 def language(c: Column) -> Column:
-    """STRUCT<lang, share>: by function words of the first 4000 characters; null for less than 20 characters or none of them."""
-    w = X.words(F.substring(c, 1, 4000))
+    """STRUCT<lang, share>: by function words of the whole text; null for less than 20 characters or none of them."""
+    w = X.words(c)
     among = lambda words: F.size(F.filter(w, lambda x: x.isin(*words)))
     counts = [F.struct(among(words).alias("n"), F.lit(lang).alias("lang")) for lang, words in PROFILES.items()]
     best = F.array_max(F.array(*counts))

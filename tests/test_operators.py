@@ -93,6 +93,13 @@ def test_html_cells_resolve_spans():
     assert T.row_chunks(cells, "Meals")[0].endswith("| 1 | 2 | 3 |")
 
 
+def test_language_of_the_whole_text(spark):
+    df = spark.createDataFrame([(1, "the house of the king is in the town and " * 100 + "der Hund und die Katze sind nicht auf dem Dach " * 400)], "id long, text string")
+    r = df.select(enrich.language(F.col("text")).alias("l")).first().l
+    assert r.lang == "de" and 0.5 < r.share < 1
+    assert enrich.language_filter(df, ("de",)).count() == 1 and enrich.language_filter(df, ("en",), 0.5).count() == 0
+
+
 def test_reranking_keeps_hits_without_vectors(spark):
     nan = float("nan")
     vectors = [[1.0, 0.0], [1.0, 0.01], None, [nan, 1.0], [1.0], [0.0, 1.0], [None, 1.0], [float("inf"), 0.0], []]
