@@ -1,9 +1,10 @@
 """Problem 6: one ranking from several differently-scaled scores.
 
 Ideal-point ranking. Each list's scores are winsorised at their ``TRIM`` and ``1 - TRIM`` quantiles,
-shifted so that the last is 0 and divided by their Euclidean length; a list's weight is the inverse of
-the distance between its ideal and its anti-ideal value, so no list prevails by its range. Items are
-sorted by relative closeness d- / (d+ + d-) to the ideal point, ties by id.
+shifted so that the last is 0 and divided by their Euclidean length over the request's items (vector
+normalisation), so that each list brings the same energy whatever its range; all lists have the same weight
+unless ``weights`` says otherwise. Items are sorted by relative closeness d- / (d+ + d-) of their weighted
+distances to the ideal and the anti-ideal point, ties by id.
 
 Requests are independent and a request is one row, so nothing is shuffled but what removes requests
 delivered twice. Defined cases: null and NaN scores, null hits and null ids are no hits; an id repeated
@@ -39,12 +40,12 @@ def hits(found: list | None) -> dict[str, float]:
     return out
 
 
-def closeness(lists: list[dict[str, float]]) -> list[tuple[str, float]]:
-    """Items by relative closeness to the ideal point."""
+def closeness(lists: list[dict[str, float]], weights: list[float] | None = None) -> list[tuple[str, float]]:
+    """Items by relative closeness to the ideal point; ``weights`` are 1 for each list by default."""
     ids = sorted({i for x in lists for i in x})
     place = {i: k for k, i in enumerate(ids)}
     columns = []
-    for x in lists:
+    for x, weight in zip(lists, weights or [1.0] * len(lists)):
         v = np.array(list(x.values()))
         if len(v) < 2 or v.min() == v.max():
             continue
@@ -52,10 +53,8 @@ def closeness(lists: list[dict[str, float]]) -> list[tuple[str, float]]:
         if not b > a:
             a, b = v.min(), v.max()
         col = np.zeros(len(ids))
-        col[[place[i] for i in x]] = (np.clip(v, a, b) - a) / (b - a)
-        length = np.linalg.norm(col)
-        col /= length
-        columns.append(col / (col.max() - col.min()))  # the weight
+        col[[place[i] for i in x]] = (np.clip(v, a, b) - a) / (b - a)  # so that squares neither overflow nor vanish
+        columns.append(weight * col / np.linalg.norm(col))
     if not columns:
         return [(i, 0.0) for i in ids]
     m = np.column_stack(columns)
@@ -90,4 +89,17 @@ def p6_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p6_found": p6_found, "p6_ranking": p6_ranking}
-SQL: dict[str, str] = {}
+_HITS = """WITH req AS (SELECT DISTINCT request_id, vector_results AS v, bm25_results AS b, splade_results AS s FROM fusion_request),
+  raw AS (SELECT request_id, 1 AS l, unnest(v) AS h FROM req UNION ALL SELECT request_id, 2, unnest(b) FROM req UNION ALL SELECT request_id, 3, unnest(s) FROM req),
+  hits AS (SELECT request_id, l, h.id AS id, max(greatest(-1e150, least(1e150, h.score))) AS s FROM raw WHERE h.id IS NOT NULL AND h.score IS NOT NULL AND NOT isnan(h.score) GROUP BY ALL)"""
+SQL = {
+    "p6_found": f"""{_HITS},
+  ids AS (SELECT DISTINCT request_id, id FROM hits SEMI JOIN (SELECT request_id FROM hits GROUP BY request_id HAVING count(DISTINCT l) >= 2) USING (request_id)),
+  q AS (SELECT request_id, l, min(s) AS lo, max(s) AS hi, quantile_cont(s, {TRIM}) AS a, quantile_cont(s, {1 - TRIM}) AS b FROM hits GROUP BY ALL HAVING min(s) < max(s)),
+  w AS (SELECT request_id, l, CASE WHEN b > a THEN a ELSE lo END AS a, CASE WHEN b > a THEN b ELSE hi END AS b FROM q),
+  x AS (SELECT request_id, l, id, (least(greatest(s, a), b) - a) / (b - a) AS x FROM hits JOIN w USING (request_id, l)),
+  y AS (SELECT request_id, l, id, x / sqrt(sum(x * x) OVER (PARTITION BY request_id, l)) AS y FROM x),
+  top AS (SELECT request_id, l, max(y) AS hi FROM y GROUP BY ALL),
+  d AS (SELECT request_id, id, sqrt(sum((coalesce(y, 0) - hi) * (coalesce(y, 0) - hi))) AS up, sqrt(sum(coalesce(y, 0) * coalesce(y, 0))) AS down FROM ids LEFT JOIN top USING (request_id) LEFT JOIN y USING (request_id, l, id) GROUP BY ALL)
+SELECT request_id, id FROM d QUALIFY row_number() OVER (PARTITION BY request_id ORDER BY round(coalesce(down / (up + down), 0), 12) DESC, id) = 1"""
+}

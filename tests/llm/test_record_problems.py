@@ -150,6 +150,16 @@ def test_fusion_ignores_range():
     assert [i for i, _ in p6_fusion.closeness(base)] == [i for i, _ in p6_fusion.closeness(scaled)]
 
 
+def test_vector_normalisation_decides():
+    """Without its length a list with one leader would weigh as much at each place as one whose items are close together."""
+    lists = [{"a": 10.0, "b": 9.8, "c": 9.6, "d": 9.4, "e": 0.0}, {"b": 10.0, "a": 0.3, "c": 0.2, "d": 0.1, "e": 0.0, "f": 5.0}]
+    plain = {i: sum((v - min(x.values())) / (max(x.values()) - min(x.values())) for x in lists for k, v in x.items() if k == i) for x in lists for i in x}
+    got = [i for i, _ in p6_fusion.closeness(lists)]
+    assert got[0] == "b" and got != sorted(plain, key=lambda i: -plain[i])
+    heavy = [i for i, _ in p6_fusion.closeness(lists, [20.0, 0.1])]
+    assert heavy[0] == "a" and heavy != got
+
+
 @pytest.mark.parametrize("seed", range(6))
 def test_packing_is_valid_and_bounded(seed):
     rng = random.Random(seed)
