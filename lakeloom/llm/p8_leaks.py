@@ -18,8 +18,8 @@ subsequence computed. None of these steps loses a case.
 
 Parts of a run have ``WINDOW`` words at least; shorter ones are everywhere and say nothing.
 
-The documents are scanned once, without shuffle; the test items (a held-out set of bounded size,
-``MAX_ITEMS`` at most, checked) go to every task. Defined cases: null and blank texts contain nothing;
+The documents are scanned without shuffle; the test items (a held-out set) go to every task, ``MAX_ITEMS`` of
+them at a time, so a larger set takes more scans. Defined cases: null and blank texts contain nothing;
 items that are null, blank or shorter than ``WINDOW`` words can't leak; an item occurring several times
 in a document is one row. Markup and line layout are dropped from the documents before.
 """
@@ -31,9 +31,11 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import arrow_rows, not_blank, table
 from .markup import TAG
@@ -192,21 +194,25 @@ def _common(a: list[int], b: list[int]) -> int:
 
 
 def leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", case: str = "case_id", passage: str = "ground_truth") -> DataFrame:
-    """(key, case) for each document and test item that leaked into it."""
-    rows_of = items.where(not_blank(items[passage])).select(case, passage).limit(MAX_ITEMS + 1).collect()
-    if len(rows_of) > MAX_ITEMS:
-        raise ValueError(f"more than {MAX_ITEMS} test items; split them into sets")
-    patterns = docs.sparkSession.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in rows_of]))
+    """(key, case) for each document and test item that leaked into it; one scan of the documents for each ``MAX_ITEMS`` items."""
+    some_items = items.where(not_blank(items[passage])).select(F.col(case).cast("long").alias("c"), F.col(passage).alias("t"))
+    sets = max(1, -(-some_items.count() // MAX_ITEMS))
     schema = pa.schema([(key, pa.int64()), (case, pa.int64())])
+    some = docs.where(not_blank(docs[text])).select(docs[key].cast("long").alias(key), docs[text].alias(text))
 
-    def rows(keys: list, texts: list) -> Iterator[tuple]:
-        find = patterns.value
-        for k, t in zip(keys, texts):
-            for c in find.leaked(t):
-                yield k, c
+    def scan(number: int) -> DataFrame:
+        own = some_items if sets == 1 else some_items.where(F.pmod(F.xxhash64("c", "t"), F.lit(sets)) == number)
+        patterns = docs.sparkSession.sparkContext.broadcast(Patterns([(r[0], r[1]) for r in own.collect()]))  # about MAX_ITEMS items
 
-    some = docs.where(not_blank(docs[text])).select(docs[key].cast("long").alias(key), docs[text].alias(text))
-    return some.mapInArrow(arrow_rows(rows, [key, text], schema), f"`{key}` long, `{case}` long").distinct()
+        def rows(keys: list, texts: list) -> Iterator[tuple]:
+            find = patterns.value
+            for k, t in zip(keys, texts):
+                for c in find.leaked(t):
+                    yield k, c
+
+        return some.mapInArrow(arrow_rows(rows, [key, text], schema), f"`{key}` long, `{case}` long")
+
+    return reduce(DataFrame.unionByName, map(scan, range(sets))).distinct()
 
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:

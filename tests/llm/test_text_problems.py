@@ -241,6 +241,14 @@ def test_close_leaks_against_brute_force():
     assert hits > 100 and no_window > 10
 
 
+def test_leaks_of_many_items_take_several_scans(spark, monkeypatch):
+    items = [(k, " ".join(f"w{k}x{i}" for i in range(14))) for k in range(9)]
+    docs = spark.createDataFrame([(k, "start " + t + " end") for k, t in items] + [(50, None)], "doc_id long, text string")
+    monkeypatch.setattr(p8_leaks, "MAX_ITEMS", 2)
+    got = p8_leaks.leaks(docs, spark.createDataFrame(items, "case_id long, ground_truth string")).collect()
+    assert {(r.doc_id, r.case_id) for r in got} == {(k, k) for k in range(9)} and len(got) == 9
+
+
 def test_leak_forms(spark):
     item = "Neither inspectors nor Delalith could trace the seasonal stipend numbered 4157 last seen in Orvale on the ninth of May by the old harbour wall"
     w = item.split()
