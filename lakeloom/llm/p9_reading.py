@@ -1,10 +1,10 @@
 r"""Problem 9: the reading level of each document.
 
 An interpolated n-gram model (words; orders 1 to ``ORDER``, over a uniform floor) is trained on the
-labelled examples of each level. A document's surprisal, word by word, under the model of the lowest level
-less that under the model of the highest gives its distribution of relative surprisal; its mean is mapped
-to the graded levels by an isotonic regression (pool-adjacent-violators) fitted on the examples, each
-scored by models that haven't seen it.
+labelled examples of each level. A document's surprisal, word by word, under each model is described by the quantiles
+of its distribution (lowest level's less highest's) and by the models' means; a ridge regression makes one
+number of the description, and an isotonic regression (pool-adjacent-violators) maps that to the graded levels.
+Both are fitted on the examples, each described by models that haven't seen it.
 
 Only running English sentences count: code, tables, records, headings and list items that are fragments
 are left out, and so are blocks whose function words aren't English. Documents with fewer than
@@ -38,6 +38,8 @@ ORDER = 2
 #: Weight of each order's own estimate, as in Jelinek-Mercer smoothing.
 WEIGHT = 0.6
 FOLDS = 5
+#: Penalty of the regression on standardised values, for each example.
+RIDGE = 0.1
 MIN_WORDS = 80
 MAX_EXAMPLES = 20_000
 #: Signs that part words, and those within or at the end of words and numbers.
@@ -57,6 +59,14 @@ _EN = STOP["en"]
 _OTHER = (STOP["fr"] | STOP["de"] | STOP["es"]) - _EN
 
 
+def _is_row(line: str) -> bool:
+    """A row of a table, a record or code; a long line is one if its cells are short on average."""
+    if len(line) < 300:
+        return bool(_ROW.search(line) or ("," in line and _CSV.match(line.strip())))
+    signs = max(line.count("\t"), line.count("|"), line.count(";"), line.count(",") - line.count(", "))
+    return signs >= 3 and len(line.split()) <= 4 * (signs + 1)
+
+
 def blocks(text: str) -> Iterator[tuple[str, bool]]:
     """The text's paragraphs and list items without markup, and whether each is a list item."""
     text = text.lstrip("\ufeff")
@@ -90,7 +100,7 @@ def blocks(text: str) -> Iterator[tuple[str, bool]]:
             now, item = [], bool(bullet)
             if blank or not bullet:
                 continue
-        if len(line) < 300 and (_ROW.search(line) or ("," in line and _CSV.match(line.strip()))):
+        if _is_row(line):
             if now:
                 yield " ".join(now), item
             now, item = [], False
@@ -122,54 +132,62 @@ def running_words(text: str) -> list[str]:
 
 
 class NGrams:
-    """Interpolated n-gram model of words: P(w|h) = a·c(h,w)/c(h) + (1-a)·P(w|shorter h), over a uniform floor."""
-
-    def __init__(self, texts: list[list[str]], vocabulary: int, order: int = ORDER, weight: float = WEIGHT):
-        grams = [Counter() for _ in range(order)]
-        for words in texts:
-            for k in range(order):
-                grams[k].update(zip(*(words[i:] for i in range(k + 1))) if k else words)
-        total = sum(grams[0].values())
-        self.order, floor = order, 1.0 / vocabulary
-        self.unseen = -math.log2((1 - weight) * floor)
-        p = {w: weight * c / total + (1 - weight) * floor for w, c in grams[0].items()}
-        self.word = {w: -math.log2(x) for w, x in p.items()}
-        self.gram: dict[tuple, float] = {}
-        lower: dict = p
-        for k in range(1, order):
-            context = Counter()
-            for g, c in grams[k].items():
-                context[g[:-1]] += c
-            at = {}
-            for g, c in grams[k].items():
-                shorter = g[-1] if k == 1 else g[1:]
-                at[g] = weight * c / context[g[:-1]] + (1 - weight) * lower[shorter]
-            self.gram.update({g: -math.log2(x) for g, x in at.items()})
-            lower = at
-
-    def bits(self, gram: tuple) -> float:
-        """Surprisal of the last word of ``gram`` given the others; by the longest part that was seen."""
-        for k in range(len(gram), 1, -1):
-            if (x := self.gram.get(gram[-k:])) is not None:
-                return x
-        return self.word.get(gram[-1], self.unseen)
-
-
-class Relative:
-    """Surprisal under one model less that under another, kept for every n-gram that either has seen."""
-
-    def __init__(self, low: NGrams, high: NGrams):
-        self.order = low.order
-        self.unseen = low.unseen - high.unseen
-        self.word = {w: low.bits((w,)) - high.bits((w,)) for w in low.word.keys() | high.word.keys()}
-        self.gram = {g: low.bits(g) - high.bits(g) for g in low.gram.keys() | high.gram.keys()}
+    """Interpolated n-gram models of words, one for each level, over one vocabulary.
+
+    P(w|h) = a·c(h,w)/c(h) + (1-a)·P(w|shorter h) where the model has seen h, and P(w|shorter h) where it hasn't; the shortest is
+    over a uniform floor, so the probabilities of the vocabulary and one unknown word sum to 1. ``rows[k]`` numbers the n-grams
+    that any model has seen, ``bits[k]`` are their surprisals under each model, ``turn[k]`` what is added where they are the context of an unseen word.
+    """
+
+    def __init__(self, levels: list[list[list[str]]], order: int = ORDER, weight: float = WEIGHT):
+        back = -math.log2(1 - weight)
+        vocabulary = {w for texts in levels for words in texts for w in words}
+        floor = 1.0 / (len(vocabulary) + 1)
+        self.order, n = order, len(levels)
+        self.rows: list[dict] = []
+        self.bits: list[np.ndarray] = []
+        self.turn: list[np.ndarray] = []
+        for k in range(order):
+            counts = [Counter(g for words in texts for g in (zip(*(words[i:] for i in range(k + 1))) if k else words)) for texts in levels]
+            contexts = [Counter(g for words in texts for g in (zip(*(words[i:-1] if i == k - 1 else words[i : i - k] for i in range(k))) if k > 1 else words[:-1])) for texts in levels] if k else [Counter({(): sum(c.values())}) for c in counts]
+            rows = {g: i for i, g in enumerate(sorted(set().union(*counts)))}
+            bits = np.empty((len(rows) + 1, n))
+            for g, i in rows.items():
+                h = () if not k else g[0] if k == 1 else g[:-1]
+                for m in range(n):
+                    lower = floor if not k else 2.0 ** -self._bits_of(g[1:] if k > 1 else g[1], k - 1)[m]
+                    seen = contexts[m][h]
+                    bits[i, m] = -math.log2(weight * counts[m][g] / seen + (1 - weight) * lower) if seen else -math.log2(lower)
+            bits[-1] = [-math.log2((1 - weight) * floor) if c else -math.log2(floor) for c in map(len, counts)] if not k else np.nan
+            if k:
+                turn = np.zeros((len(self.rows[-1]) + 1, n))
+                for m in range(n):
+                    for h in contexts[m]:
+                        turn[self.rows[-1][h], m] = back
+                self.turn.append(turn)
+            self.rows.append(rows)
+            self.bits.append(bits)
+
+    def _bits_of(self, gram, k: int) -> np.ndarray:
+        """Surprisals of the last word of an n-gram of ``k + 1`` words under each model."""
+        i = self.rows[k].get(gram, -1)
+        if i >= 0 or not k:
+            return self.bits[k][i]
+        h = gram[0] if k == 1 else gram[:-1]
+        return self._bits_of(gram[1] if k == 1 else gram[1:], k - 1) + self.turn[k - 1][self.rows[k - 1].get(h, -1)]
 
     def __call__(self, words: list[str]) -> np.ndarray:
-        word, gram, unseen, nan = self.word.get, self.gram.get, self.unseen, math.nan
-        out = np.array([word(w, unseen) for w in words])
-        for k in range(2, self.order + 1):
-            longer = np.array([gram(g, nan) for g in zip(*(words[i:] for i in range(k)))])
-            out[k - 1 :] = np.where(np.isnan(longer), out[k - 1 :], longer)
+        """Surprisals of each word of a text under each model, given the words before it."""
+        get = self.rows[0].get
+        at = np.array([get(w, -1) for w in words])
+        out = self.bits[0][at]
+        for k in range(1, self.order):
+            if len(words) <= k:
+                break
+            get = self.rows[k].get
+            longer = np.array([get(g, -1) for g in zip(*(words[i:] for i in range(k + 1)))])
+            out[k:] = np.where((longer < 0)[:, None], out[k:] + self.turn[k - 1][at[:-1]], self.bits[k][longer])
+            at = longer
         return out
 
 
@@ -191,33 +209,60 @@ def isotonic(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array(kx), np.array(ky)
 
 
+#: Quantiles by which a text's distribution of relative surprisal is described.
+QUANTILES = (0.1, 0.25, 0.5, 0.75, 0.9)
+NAMES = tuple(f"surprisal_{round(100 * q)}" for q in QUANTILES)
+
+
+_AT = np.array(QUANTILES)
+
+
+def _quantiles(x: np.ndarray) -> np.ndarray:
+    return np.sort(x)[(_AT * (len(x) - 1) + 0.5).astype(np.int64)]
+
+
 class Reader:
-    """The fitted models, and the map from relative surprisal to level."""
+    """The fitted models, and the map from a distribution of surprisal to a level."""
 
     def __init__(self, examples: list[tuple[str, str]], levels: tuple[str, ...] = LEVELS):
         texts = [(running_words(t), levels.index(level)) for t, level in examples if t and level in levels]
         texts = [(w, y) for w, y in texts if w]
-        if not texts or {y for _, y in texts} < {0, len(levels) - 1}:
+        if not texts or not {y for _, y in texts} >= {0, len(levels) - 1}:
             raise ValueError("examples of the lowest and of the highest level are needed")
         self.levels = levels
-        held = np.empty(len(texts))
+        y = np.array([float(y) for _, y in texts])
+        held = np.empty((len(texts), len(QUANTILES) + len(levels)))
         for fold in range(min(FOLDS, len(texts))):
-            relative = self._relative([t for i, t in enumerate(texts) if i % FOLDS != fold])
+            models = self._models([t for i, t in enumerate(texts) if i % FOLDS != fold])
             for i in range(fold, len(texts), FOLDS):
-                held[i] = relative(texts[i][0]).mean()
-        self.x, self.y = isotonic(held, np.array([float(y) for _, y in texts]))
-        self.relative = self._relative(texts)
-        self.held = held
-
-    def _relative(self, texts: list[tuple[list[str], int]]) -> Relative:
-        vocabulary = len({w for words, _ in texts for w in words}) + 1
-        last = len(self.levels) - 1
-        return Relative(*(NGrams([w for w, y in texts if y == k], vocabulary) for k in (0, last)))
+                held[i] = self._described(models(texts[i][0]))
+        self.fit_direction(held, y)
+        self.held = self.difficulty(held)
+        self.x, self.y = isotonic(self.held, y)
+        self.models = self._models(texts)
+
+    def _models(self, texts: list[tuple[list[str], int]]) -> NGrams:
+        return NGrams([[w for w, y in texts if y == k] for k in range(len(self.levels))])
+
+    @staticmethod
+    def _described(bits: np.ndarray) -> np.ndarray:
+        """Quantiles of the surprisal under the lowest level's model less that under the highest's, and each model's mean less that of all."""
+        mean = bits.sum(0) / len(bits)
+        return np.concatenate([_quantiles(bits[:, 0] - bits[:, -1]), mean.mean() - mean])
+
+    def fit_direction(self, held: np.ndarray, y: np.ndarray) -> None:
+        """Ridge regression of the level on the standardised description: one number that rises with difficulty."""
+        self.centre, self.spread = held.mean(0), np.maximum(held.std(0), 1e-6)
+        z = (held - self.centre) / self.spread
+        self.weights = np.linalg.solve(z.T @ z + RIDGE * len(z) * np.eye(z.shape[1]), z.T @ (y - y.mean()))
+
+    def difficulty(self, described: np.ndarray) -> np.ndarray:
+        return (described - self.centre) / self.spread @ self.weights
 
     def grade(self, words: list[str]) -> tuple[float, np.ndarray]:
-        """Difficulty from 0 to the highest level, and the relative surprisals."""
-        d = self.relative(words)
-        return float(np.interp(d.mean(), self.x, self.y)), d
+        """Difficulty from 0 to the highest level, and the quantiles of the surprisal relative to the highest level's model."""
+        described = self._described(self.models(words))
+        return float(np.interp(self.difficulty(described), self.x, self.y)), described[: len(QUANTILES)]
 
     def level(self, grade: float) -> str:
         return self.levels[int(min(len(self.levels) - 1, max(0, math.floor(grade + 0.5))))]
@@ -231,9 +276,9 @@ def fit(examples: DataFrame, text: str = "text", level: str = "reading_level") -
 
 
 def reading_profile(docs: DataFrame, reader: Reader, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(doc_id, words, grade, reading_level, and quartiles of the relative surprisal) for each document with enough sentences."""
+    """(doc_id, words, grade, reading_level, and ``NAMES``, the quantiles of the relative surprisal) for each document with enough sentences."""
     shared = docs.sparkSession.sparkContext.broadcast(reader)
-    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.int32()), ("grade", pa.float64()), ("reading_level", pa.string()), ("surprisal", pa.float64()), ("lower", pa.float64()), ("median", pa.float64()), ("upper", pa.float64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("words", pa.int32()), ("grade", pa.float64()), ("reading_level", pa.string()), *((q, pa.float64()) for q in NAMES)])
 
     def rows(keys: list, texts: list) -> Iterator[tuple]:
         r = shared.value
@@ -241,10 +286,10 @@ def reading_profile(docs: DataFrame, reader: Reader, key: str = "doc_id", text:
             words = running_words(t)
             if len(words) >= MIN_WORDS:
                 grade, d = r.grade(words)
-                yield (k, len(words), grade, r.level(grade), float(d.mean()), *map(float, np.quantile(d, [0.25, 0.5, 0.75])))
+                yield (k, len(words), grade, r.level(grade), *d.tolist())
 
     some = docs.where(not_blank(F.col(text))).select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return some.mapInArrow(arrow_rows(rows, ["doc_id", "text"], schema), "doc_id long, words int, grade double, reading_level string, surprisal double, lower double, median double, upper double")
+    return some.mapInArrow(arrow_rows(rows, ["doc_id", "text"], schema), "doc_id long, words int, grade double, reading_level string, " + ", ".join(f"{q} double" for q in NAMES))
 
 
 def p9_profile(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -282,6 +282,18 @@ def test_isotonic_is_monotone():
     assert list(x) == sorted(x) and list(y) == sorted(y)
 
 
+def test_ngram_probabilities_sum_to_one():
+    rng = random.Random(2)
+    levels = [[rng.choices("abcdefgh"[: 4 + 2 * k], k=30) for _ in range(3)] for k in range(3)]
+    for order in (1, 2, 3):
+        models = p9_reading.NGrams(levels, order)
+        words = [*models.rows[0], "never seen"]
+        for history in (["a"], ["a", "h"], ["h", "a", "b"], ["never seen", "b"]):
+            total = sum(2.0 ** -models([*history, w])[-1] for w in words)
+            assert total == pytest.approx([1.0] * 3)
+    assert p9_reading.NGrams(levels, 3)(["a"]).shape == (1, 3)
+
+
 def test_reading_levels(spark):
     rng = random.Random(1)
 
