@@ -106,10 +106,48 @@ def test_nearest_vectors(spark, monkeypatch):
     assert p4_knn.nearest(df.limit(0)).count() == 0
 
 
+def brute_nearest(rows, k=5):
+    x = np.array([v for _, v in rows], float)
+    x = (x / np.linalg.norm(x, axis=1)[:, None]).astype(np.float32)
+    s = x @ x.T
+    return {i: [n for _, n in sorted((-round(float(s[a, b]), 5), rows[b][0]) for b in range(len(rows)) if b != a)[:k]] for a, (i, _) in enumerate(rows)}
+
+
 def test_equal_vectors_are_neighbours(spark):
-    rows = [(f"v{i:03d}", [float(i // 50 + 1), 1.0] + [0.5] * 18) for i in range(100)]
-    got = p4_knn.nearest(spark.createDataFrame(rows, "id string, vector array<double>")).groupBy("id").count().collect()
-    assert len(got) == 100 and all(r["count"] == 5 for r in got)
+    """Equal vectors are one class; of equally similar ones the smaller ids come first, in whatever order the rows come."""
+    rng = np.random.default_rng(4)
+    kinds = np.round(rng.standard_normal((12, 20)), 1)
+    rows = [(f"v{i:03d}", kinds[0 if i < 60 else i % 12].tolist()) for i in range(150)]
+    want = brute_nearest(rows)
+    for some in (rows, rows[::-1], random.Random(1).sample(rows, len(rows))):
+        got: dict = {}
+        for r in p4_knn.nearest(spark.createDataFrame(some, "id string, vector array<double>").repartition(3)).orderBy("id", F.desc("cosine"), "near_id").collect():
+            got.setdefault(r.id, []).append(r.near_id)
+        assert got == want
+    df = spark.createDataFrame(rows, "id string, vector array<double>")
+    exact: dict = {}
+    for r in p4_knn.exact_nearest(df, df.where("id like '%5'")).orderBy("id", F.desc("cosine"), "near_id").collect():
+        exact.setdefault(r.id, []).append(r.near_id)
+    assert exact == {i: n for i, n in want.items() if i.endswith("5")}
+    assert p4_knn.recall(df, p4_knn.nearest(df), df.where("id like '%5'")).first().recall == 1.0
+    with pytest.raises(ValueError):
+        old, p4_knn.MAX_QUERIES = p4_knn.MAX_QUERIES, 3
+        try:
+            p4_knn.exact_nearest(df, df)
+        finally:
+            p4_knn.MAX_QUERIES = old
+
+
+def test_plans_hold_their_recall_for_more_rows(spark):
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((3000, 20))
+    x[1000:] = x[rng.integers(0, 1000, 2000)] + 0.3 * rng.standard_normal((2000, 20))
+    df = spark.createDataFrame([(f"v{i:05d}", r.tolist()) for i, r in enumerate(x)], "id string, vector array<double>")
+    own = p4_knn.unit_vectors(df).cache()
+    plans = [p4_knn.fit_plan(own, n) for n in (3_000, 300_000, 30_000_000)]
+    assert plans[0].functions < plans[1].functions <= plans[2].functions
+    for plan in plans:
+        assert p4_knn.recall(df, p4_knn.nearest(df, plan=plan), df.where("id like '%00'")).first().recall >= 0.9
 
 
 def test_probe_order_is_by_success():
