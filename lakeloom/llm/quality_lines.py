@@ -33,7 +33,7 @@ NUMBERISH = re.compile(r"^[^\w]*[\d][\d.,:%/-]*[^\w]*$")
 ROW_PIPES = re.compile(r"^\s*\|.*\|")
 CSV_ROW = re.compile(r"^[^,;]*(?:,(?! )[^,]*)+$")
 SENTENCE_END = re.compile(r"[.!?;:…](?:[\"')\]]*)(?:\s|$)")
-JSON_RECORD = re.compile(r'^\s*\[?\s*\{\s*"[^"]+"\s*:')
+JSON_RECORD = re.compile(r'^\s*(?:\[\s*)?\{\s*"[^"]+"\s*:')
 TABLE_OPEN, TABLE_CLOSE = re.compile(r"<table\b|^\s*\{\||\\begin\{(?:tabular|longtable|array)", re.I), re.compile(r"</table|^\s*\|\}|\\end\{(?:tabular|longtable|array)", re.I)
 LIST_OPEN, LIST_CLOSE = re.compile(r"<[uo]l\b|\\begin\{(?:itemize|enumerate|description)", re.I), re.compile(r"</[uo]l|\\end\{(?:itemize|enumerate|description)", re.I)
 VERB_OPEN, VERB_CLOSE = re.compile(r"\\begin\{(?:verbatim|lstlisting|minted)"), re.compile(r"\\end\{(?:verbatim|lstlisting|minted)")
@@ -225,7 +225,22 @@ def language(words: list[str]) -> str:
     return best
 
 
-STATS = ("words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "distinct_share", "longest_word", "digit_share")
+STATS = ("words", "mean_word", "symbol_ratio", "ended_lines", "common_share", "distinct_share", "longest_word", "digit_share", "marked", "celled", "coded", "mixed")
+#: Lines that start with a mark, that have cells, that have signs of program code.
+MARKED = re.compile(r"^\s*(?:[-*+•‣·–—◦▪]|\(?\w{1,5}[.)]|<li\b|\\item|</?[uo]l\b|\\(?:begin|end)\{(?:itemize|enumerate))")
+CELLED = re.compile(r"[\t|]|  \S|[,;]\S|<t[drh]\b|</?table|tabular|^!|\",? ?\"")
+NAMED = re.compile(r"[\w -]{1,41}:\s*\S")
+CODED = re.compile(r"[;{}(\[,\\:=]$|^(?:#|//|--|@)|[=<>]=|\w=\S|^(?:```|~~~)|</?(?:pre|code)\b|\\(?:begin|end)\{(?:verb|lst|mint)|^(?:do|done|fi|end|else|try|return|SELECT|FROM|WHERE|GROUP|ORDER|JOIN|import)\b")
+
+
+def _celled(x: str) -> bool:
+    return bool(CELLED.search(x) or NAMED.match(x)) or "&" in x and x.endswith("\\\\")
+
+
+def _coded(x: str) -> bool:
+    """Also a line that is indented, or has something between brackets."""
+    s = x.strip()
+    return x[:2].isspace() or bool(CODED.search(s)) or any(0 <= s.find(a) < s.rfind(b) for a, b in ("()", "[]", "{}"))
 
 
 def text_stats(text: str) -> tuple[str, list[float]]:
@@ -233,20 +248,26 @@ def text_stats(text: str) -> tuple[str, list[float]]:
     words = WORDS.findall(text.lower())
     n = len(words)
     lang = language(words)
-    lines = [x for x in text.split("\n") if x.strip()]
-    solid = len("".join(text.split()))
+    lines = [x for x in text.replace("\r\n", "\n").replace("\r", "\n").split("\n") if x.strip()] or [""]
+    runs = text.split()
+    solid = sum(map(len, runs))
     letters = sum(map(len, words))
+    signs = (solid - letters) / solid if solid else 0.0
     ended = sum(1 for x in lines if x.rstrip()[-1:] in ".!?:;\"”)")
     stop = STOP.get(lang, ANY_STOP)
     return lang, [
         float(n),
         letters / n if n else 0.0,
-        (solid - letters) / solid if solid else 0.0,
-        ended / len(lines) if lines else 0.0,
+        signs,
+        ended / len(lines),
         sum(1 for x in words if x in stop) / n if n else 0.0,
         len(set(words)) / n if n else 0.0,
         float(max(map(len, words), default=0)),
         sum(1 for x in words if x[0].isdigit()) / n if n else 0.0,
+        sum(1 for x in lines if MARKED.match(x)) / len(lines),
+        sum(1 for x in lines if _celled(x.strip())) / len(lines),
+        sum(1 for x in lines if _coded(x)) / len(lines),
+        len(_MIXED.findall(text)) / len(runs) if signs > 0.08 else 0.0,  # signs inside words, for each run of characters
     ]
 
 

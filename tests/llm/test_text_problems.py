@@ -170,17 +170,43 @@ def test_quality_operator(spark):
     assert p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats.limit(0))).count() <= 5
 
 
-@pytest.mark.parametrize("share", [0.0, 0.3, 1.0])
-def test_junk_lies_in_a_tail_however_much_there_is(spark, share):
-    good = "The office in the town pays for the lunch, and the list of the costs is in the box."
-    junk = ["Home | Back | Login | Menu | Top | Home | Print | Next", "read more a passage 1 " * 12, ". . . . . . . 12\n. . . . . . . . 33", "row loader index table cell vector query column report thread form score digest"]
-    n = int(20 * share)
-    rows = [(f"g{i}", good) for i in range(20 - n)] + [(f"j{i}", junk[i % 4]) for i in range(n)]
-    stats = p5_quality.document_stats(spark.createDataFrame(rows, "id string, content string")).cache()
-    only = p5_quality.JUNK_STATS
-    q = p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats.where("kind <> 'junk'"), only), only)
-    got = p5_quality.with_tails(stats, q, only).where("kind = 'junk' and size(tails) > 0")
-    assert {r.id for r in got.collect()} == {f"j{i}" for i in range(n)}
+LISTS = ["- keys and cards\n- old cups\n- the box\n- maps", "1. read it\n2. sort it\n3. send it"]
+JUNK = ["Home | Back | Login | Menu | Top | Home | Print | Next", "read more a passage 1 " * 12, ". . . . . . . 12\n. . . . . . . . 33", "row loader index table cell vector query column report thread form score digest"]
+
+
+def good_text(i):
+    rng = random.Random(i)
+    return " ".join(f"The {rng.choice(['office', 'keeper', 'clerk'])} in the {rng.choice(['town', 'north'])} pays for the {rng.choice(['lunch', 'repair'])}, and the list of the costs is in box {rng.randint(1, 90)}." for _ in range(rng.randint(2, 6)))
+
+
+def test_kinds_lie_in_tails(spark):
+    rows = [(f"g{i}", good_text(i)) for i in range(60)] + [(f"j{i}", x) for i, x in enumerate(JUNK)] + [(f"l{i}", x) for i, x in enumerate(LISTS)] + [("n", None), ("b", " \n")]
+    df = spark.createDataFrame(rows, "id string, content string").withColumn("kind", F.lit("clash"))
+    q = p5_quality.sketch_quantiles(p5_quality.stat_sketches(p5_quality.document_stats(df)))
+    got = {(r.id, r.kind) for r in p5_quality.kinds_in_tails(df, q).collect()}
+    assert got == {(f"j{i}", "junk") for i in range(4)} | {("l0", "list"), ("l1", "list")}
+    assert p5_quality.kinds_in_tails(df.limit(0), q).count() == 0
+
+
+def test_tails_decide_what_the_lines_may_say(spark, monkeypatch):
+    """Where every document is a list, being one is no tail, and the line rules alone name nothing."""
+    monkeypatch.setattr(p5_quality, "KIND_TAILS", {"list": {"marked": 1}})
+    rows = [(f"l{i}", f"- {good_text(i)}\n- {good_text(i + 500)}") for i in range(30)]
+    df = spark.createDataFrame(rows, "id string, content string")
+    assert {Q.kind_of(Q.kinds_of_lines(t)[0]) for _, t in rows} == {"list"}
+    q = p5_quality.sketch_quantiles(p5_quality.stat_sketches(p5_quality.document_stats(df)))
+    assert p5_quality.kinds_in_tails(df, q).count() == 0
+    more = df.unionByName(spark.createDataFrame([(f"g{i}", good_text(i)) for i in range(40)], "id string, content string"))
+    q = p5_quality.sketch_quantiles(p5_quality.stat_sketches(p5_quality.document_stats(more)))
+    assert p5_quality.kinds_in_tails(more, q).count() == 30
+
+
+def test_percentiles(spark):
+    df = spark.createDataFrame([(f"d{i:03d}", "the " * (i + 1)) for i in range(200)], "id string, content string")
+    stats = p5_quality.document_stats(df)
+    got = {r.id: r for r in p5_quality.with_tails(stats, p5_quality.sketch_quantiles(p5_quality.stat_sketches(stats))).collect()}
+    assert got["d000"].p_words <= 1 and abs(got["d100"].p_words - 50) <= 3 and got["d199"].p_words >= 98
+    assert got["d199"].z_words > got["d150"].z_words > 0 > got["d020"].z_words
 
 
 def brute_leak(doc, item):
