@@ -10,7 +10,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from lakeloom.llm import markup as M
-from lakeloom.llm import p1_markup, p5_quality, p8_leaks, p9_reading
+from lakeloom.llm import p1_markup, p5_quality, p8_leaks, p9_reading, wrappers
 from lakeloom.llm import quality_lines as Q
 
 LONG = "The office pays 12 per day, although the list is old. " * 20_000
@@ -141,19 +141,63 @@ def test_markup_operator_on_odd_rows(spark):
     df = frame(spark, [*ODD[:4], "<b>x</b>", "<b>x</b>", "# h\n\\cite{a}"]).withColumn("clean_text", F.lit("old"))
     out = p1_markup.clean_markup(df).collect()
     assert len(out) == 7 and [r for r in out if r.id == "d4"][0].clean_text == "x"
-    found = {(r.id, r.markup) for r in p1_markup.markup_found(df).collect()}
+    more = df.unionByName(df.withColumn("id", F.concat("id", F.lit("+"))))
+    found = {(r.id, r.markup) for r in p1_markup.markup_found(more).collect() if "+" not in r.id}
     assert found == {("d4", "html"), ("d5", "html"), ("d6", "markdown"), ("d6", "latex")}
     assert p1_markup.markup_found(df.limit(0)).count() == 0
 
 
+HOST = "id string, source string, content string"
+
+
 def test_template_classes(spark):
-    pages = [(f"p{i}", "h", f"<title> site name </title> word{i} other{i} <foot> all rights </foot>") for i in range(6)]
-    df = spark.createDataFrame([*pages, ("q", "h", None), ("r", "h", " ")], "id string, source string, content string")
+    pages = [(f"p{i}", "h", f"<title>site</title>\n<ul>\n<li>word{i}</li>\n<li>other{i}</li>\n</ul>\n## end {i}") for i in range(6)]
+    pages += [(f"q{i}", "g", f"'''word{i}''' and [[link {i}]], <b>lone {i}") for i in range(3)]
+    df = spark.createDataFrame([*pages, ("q", "h", None), ("r", "h", " "), ("s", None, "**once**")], HOST)
     got = p1_markup.template_classes(df).collect()
-    assert len(got) == 1 and got[0].support == 6 and got[0].tokens.split()[:2] == ["<title>", "site"]
-    slots = p1_markup.template_slots(df, p1_markup.template_classes(df)).collect()
-    assert {s.slot_text for s in slots} == {f"word{i} other{i}" for i in range(6)}
+    of = {t: r for r in got for t in r.tokens if r.host == "h"}
+    assert of["<ul"].tokens == of["</ul"].tokens and of["<li"].tokens == of["</li"].tokens and of["<li"].class_id != of["<ul"].class_id
+    assert of["<ul"].support == 6 and of["<li"].per_page == 2.0 and of["<li"].inside == of["<ul"].class_id and of["<ul"].inside is None
+    assert {t for r in got for t in r.tokens if r.host == "g"} >= {"'''‹", "›'''", "[[‹", "›[[", "<b", "><b"}
+    assert not any("**" in t for r in got for t in r.tokens)  # one page alone is no template
+    slots = p1_markup.template_slots(df, p1_markup.template_classes(df)).where("page like 'p%'").collect()
+    assert [s.slot_text for s in sorted(slots, key=lambda s: s.slot) if s.page == "p3"] == ["site", "word3", "other3", "end 3"]
     assert p1_markup.template_classes(df.limit(0)).count() == 0
+    assert p1_markup.template_slots(df.limit(0), p1_markup.template_classes(df.limit(0))).count() == 0
+
+
+def test_classes_without_one_order_are_split(spark):
+    rows = [("p1", "h", "**a** then [b](c)"), ("p2", "h", "[b](c) then **a**")]
+    df = spark.createDataFrame(rows, HOST)
+    assert {(r.id, r.markup) for r in p1_markup.markup_found(df, F.col("source")).collect()} == {("p1", "markdown"), ("p2", "markdown")}
+    tokens = [set(r.tokens) for r in p1_markup.template_classes(df).collect()]
+    assert not any({"**‹", "["} <= t for t in tokens) and any({"**‹", "›**"} <= t for t in tokens)
+
+
+def test_deduction_decides_and_the_grammar_confirms(spark):
+    """A sign that wraps nothing is in no class, whatever the grammar says; a class without a language is none either."""
+    texts = ["**a** b", "**c** d", "(x) y", "(z) w", "```\n<b>k</b>\n```", "```\n<b>m</b>\n```", "$$$$$$ 12 $$$$$", "$$$$ 7 $$$", "<u>rare", "[[x]] y", "f(x) = {1}\ng(y) = {2};"]
+    df = spark.createDataFrame([(f"p{i}", "h", t) for i, t in enumerate(texts)], HOST)
+    got = {(r.id, r.markup) for r in p1_markup.markup_found(df, F.col("source")).collect()}
+    assert got == {("p0", "markdown"), ("p1", "markdown"), ("p4", "markdown"), ("p5", "markdown")}
+    alone = {(r.id, r.markup) for r in p1_markup.markup_found(df, F.col("source"), checked=False).collect()}
+    assert got <= alone and not any(i in ("p2", "p3") for i, _ in alone)
+    every = {(r.id, r.markup) for r in p1_markup.markup_found(df, F.col("id")).collect()}
+    assert every == got  # each page a host of its own: classes come from all hosts
+
+
+@pytest.mark.parametrize("text", ODD)
+def test_wrappers_of_odd_texts(text):
+    tokens = wrappers.page_tokens(text)
+    assert all(n > 0 and a <= z for _, n, a, z, _ in tokens)
+    wrappers.page_slots(text, {"<b", "**"})
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="ab <>/&;#*_`[]()|={}\\$'\n\t.:-1é", max_size=200))
+def test_wrappers_of_any_text(text):
+    wrappers.page_tokens(text)
+    assert all(p.strip() for p in wrappers.page_slots(text, {"**", "<b"}))
 
 
 def test_quality_operator(spark):
