@@ -3,9 +3,9 @@ r"""Problem 2: duplicates hidden by formatting.
 Each text has a plain key, of its letters and digits only, so that white space, letter case and punctuation don't
 count; a record of ``Field: value`` pairs (lines, one line with ``;``, ``|`` or ``,``, JSON) also has a record key, of its
 pairs in sorted order. Texts that share either key are copies, and so are texts that a third one links.
-The ledger holds one row for each pair of keys: (bucket, key, record, copies, first_id). A batch is aggregated, full
-outer joined to the ledger on the keys, counts are added and the earliest representative
-(smallest id) is kept. Both sides are partitioned alike, so a batch moves once, already aggregated. ``groups``
+The ledger holds one row for each pair of keys: (bucket, key, record, copies, first_id), stored by bucket of the key's hash
+(``Ledger``). A batch is aggregated, the buckets it has keys in are read and full outer joined to it, counts are added, the earliest
+representative (smallest id) is kept, and those buckets alone are written anew; files of the others stay as they are. ``groups``
 links the ledger's rows: a plain key goes with its record key, and record keys that share a plain key are
 connected as components.
 
@@ -16,14 +16,18 @@ ledger as it is, and an empty ledger becomes the batch. All of it runs in the JV
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.dedup import clusters
-from .common import JAVA_SPACE, cut, not_blank, table
+from .common import JAVA_SPACE, cut, not_blank, shared_dir, table, written
 
 #: Buckets of the ledger; a batch touches only those it has keys in.
-BUCKETS = 256
+BUCKETS = 64
+LEDGER = "bucket int, key binary, record binary, copies long, first_id string"
 _NAME = r"^\s*(?:[-*+•‣·–—◦▪]\s+)?\*{0,3}\p{L}[\p{L}\p{N}_ \-]{0,40}?\s?\*{0,3}\s?:"
 _FIELD = _NAME + r"\s*[^\s].*$"
 _LINE_FIELD = _NAME + r"\*{0,3}\s+[^\s].*$"
@@ -85,18 +89,18 @@ def keyed(df: DataFrame, id_col: str = "id", text: str = "content", also: tuple[
 
 
 def batch_counts(keys: DataFrame) -> DataFrame:
-    return keys.groupBy("bucket", "key", "record").agg(F.count("*").alias("copies"), F.min("id").alias("first_id"))
+    return keys.groupBy("bucket", "key", "record").agg(F.count("*").alias("copies"), F.min("id").cast("string").alias("first_id"))
 
 
 def merge_ledger(ledger: DataFrame, batch: DataFrame) -> DataFrame:
-    """The ledger after a batch of keys; only counts and representatives move."""
-    old, new = ledger.alias("o"), batch_counts(batch).alias("n")
+    """The ledger after the counts of a batch."""
+    old, new = ledger.alias("o"), batch.alias("n")
     both = old.join(new, (F.col("o.bucket") == F.col("n.bucket")) & (F.col("o.key") == F.col("n.key")) & F.col("o.record").eqNullSafe(F.col("n.record")), "full_outer")
     return both.select(
         F.coalesce("o.bucket", "n.bucket").alias("bucket"),
         F.coalesce("o.key", "n.key").alias("key"),
         F.coalesce("o.record", "n.record").alias("record"),
-        (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).alias("copies"),
+        (F.coalesce("o.copies", F.lit(0)) + F.coalesce("n.copies", F.lit(0))).cast("long").alias("copies"),
         F.least("o.first_id", "n.first_id").alias("first_id"),
     )
 
@@ -110,12 +114,65 @@ def _batches(keys: DataFrame, when: str) -> list[DataFrame]:
     return [keys.where(early), keys.where(~early)]
 
 
-def build_ledger(keys: DataFrame, when: str = "ingested_at") -> DataFrame:
-    first, *rest = _batches(keys, when)
-    ledger = batch_counts(first)
-    for batch in rest:
-        ledger = merge_ledger(ledger, batch)
-    return ledger
+class Ledger:
+    """A ledger stored by bucket: ``path/g=<generation>/bucket=<bucket>``; a bucket's latest generation holds.
+
+    A generation counts once it is complete, so a batch that fails leaves the ledger as it was. Old generations may be removed
+    by ``vacuum`` when nobody reads them.
+    """
+
+    def __init__(self, spark: SparkSession, path: str | None = None):
+        self.spark, self.path = spark, path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+
+    def _list(self, path: str, prefix: str) -> list[int]:
+        at = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        fs = at.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(at)] if fs.exists(at) else []
+        return sorted(int(n[len(prefix) :]) for n in names if n.startswith(prefix))
+
+    def _complete(self) -> list[int]:
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        return [g for g in self._list(self.path, "g=") if fs.exists(hadoop(f"{self.path}/g={g}/_SUCCESS"))]
+
+    def latest(self) -> dict[int, int]:
+        """The generation that holds for each bucket."""
+        return {b: g for g in self._complete() for b in self._list(f"{self.path}/g={g}", "bucket=")}
+
+    def read(self, buckets: list[int] | None = None) -> DataFrame:
+        """The ledger, or some of its buckets; no other bucket's files are read."""
+        by: dict[int, list[int]] = {}
+        for b, g in self.latest().items():
+            if buckets is None or b in buckets:
+                by.setdefault(g, []).append(b)
+        parts = [self.spark.read.schema(LEDGER).parquet(f"{self.path}/g={g}").where(F.col("bucket").isin(bs)) for g, bs in sorted(by.items())]
+        return reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], LEDGER)
+
+    def add(self, keys: DataFrame) -> Ledger:
+        """Add a batch of keys."""
+        batch = written(batch_counts(keys))
+        touched = [r["bucket"] for r in batch.select("bucket").distinct().collect()]  # BUCKETS at most
+        if touched:
+            merged = merge_ledger(self.read(touched), batch).repartition("bucket")
+            merged.write.partitionBy("bucket").parquet(f"{self.path}/g={1 + max(self._list(self.path, 'g='), default=0)}")
+        return self
+
+    def vacuum(self) -> None:
+        """Remove generations that no bucket needs any more."""
+        kept = set(self.latest().values())
+        hadoop = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = hadoop(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for g in self._list(self.path, "g="):
+            if g not in kept:
+                fs.delete(hadoop(f"{self.path}/g={g}"), True)
+
+
+def build_ledger(batches: list[DataFrame], path: str | None = None) -> DataFrame:
+    """The ledger after all batches of keys, one after the other; ``path`` is that of a ledger to go on with."""
+    ledger = Ledger(batches[0].sparkSession, path)
+    for batch in batches:
+        ledger.add(batch)
+    return ledger.read()
 
 
 def _keys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -142,11 +199,11 @@ def copies(keys: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     keys = _keys(spark, sf_dir)
-    return copies(keys, cut(build_ledger(keys)))
+    return copies(keys, build_ledger(_batches(keys, "ingested_at")))
 
 
 def p2_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return groups(cut(build_ledger(_keys(spark, sf_dir)))).select("group", "first_id", "copies").distinct().select("first_id", "copies")
+    return groups(build_ledger(_batches(_keys(spark, sf_dir), "ingested_at"))).select("group", "first_id", "copies").distinct().select("first_id", "copies")
 
 
 QUERIES = {"p2_found": p2_found, "p2_ledger": p2_ledger}

@@ -29,13 +29,34 @@ def test_ledger_adds_batches(spark):
     rows = [(f"i{k:03d}", f"text number {k % 7}", None if k % 5 == 0 else k) for k in range(60)] + [("z", None, 1), ("y", " ", 1)]
     df = spark.createDataFrame(rows, "id string, content string, t int").withColumn("ingested_at", F.timestamp_seconds("t")).withColumn("key", F.lit("clash"))
     keys = p2_ledger.keyed(df, also=("ingested_at",))
-    ledger = p2_ledger.build_ledger(keys)
+    ledger = p2_ledger.build_ledger(p2_ledger._batches(keys, "ingested_at"))
     assert sorted((r.first_id, r.copies) for r in ledger.collect()) == [(f"i{k:03d}", 9 if k < 4 else 8) for k in range(7)]
     pairs = {(r.first_id, r.copy_id) for r in p2_ledger.copies(keys, ledger).collect()}
     assert pairs == {(f"i{k % 7:03d}", f"i{k:03d}") for k in range(7, 60)}
-    empty = p2_ledger.build_ledger(keys.limit(0))
+    empty = p2_ledger.build_ledger([keys.limit(0)])
     assert empty.count() == 0
-    assert p2_ledger.merge_ledger(empty, keys).count() == 7 and p2_ledger.merge_ledger(ledger, keys.limit(0)).count() == 7
+    counts = p2_ledger.batch_counts
+    assert p2_ledger.merge_ledger(empty, counts(keys)).count() == 7 and p2_ledger.merge_ledger(ledger, counts(keys.limit(0))).count() == 7
+
+
+def test_a_batch_touches_its_buckets_only(spark, tmp_path):
+    def batch(*texts):
+        return p2_ledger.keyed(spark.createDataFrame([(f"{t}-{i}", t) for i, t in enumerate(texts)], "id string, content string"))
+
+    ledger = p2_ledger.Ledger(spark, f"{tmp_path}/ledger")
+    ledger.add(batch(*(f"text number {k}" for k in range(400)))).add(batch("text number 3", "TEXT, number 3!"))
+    first, second = ledger._complete()
+    touched = [b for b, g in ledger.latest().items() if g == second]
+    assert len(touched) == 1 and len(ledger.latest()) > 20
+    before = {f: f.stat().st_mtime_ns for f in (tmp_path / "ledger" / f"g={first}").rglob("*.parquet")}
+    ledger.add(batch("quite another text", None, " "))
+    assert {f: f.stat().st_mtime_ns for f in (tmp_path / "ledger" / f"g={first}").rglob("*.parquet")} == before
+    plan = ledger.read(touched)._jdf.queryExecution().toString()
+    assert "PartitionFilters: [isnotnull(bucket" in plan or "PartitionFilters: [bucket" in plan
+    rows = {r.first_id: r.copies for r in p2_ledger.Ledger(spark, ledger.path).read().collect()}
+    assert len(rows) == 401 and sorted(rows.values())[-2:] == [1, 3]
+    ledger.vacuum()
+    assert sum(r.copies for r in ledger.read().collect()) == 403
 
 
 def test_records_meet_equal_plain_texts(spark):
@@ -44,7 +65,7 @@ def test_records_meet_equal_plain_texts(spark):
     chain = ["A: x y\nB: z", "A: x, y B: z", "A: x\ny B: z", "y B: z | A: x", "B: z; A: x y"]
     df = spark.createDataFrame([(f"{g}{i}", x) for g, xs in zip("soc", (same, other, chain)) for i, x in enumerate(xs)], "id string, content string").withColumn("ingested_at", F.lit(None).cast("timestamp"))
     keys = p2_ledger.keyed(df, also=("ingested_at",)).cache()
-    ledger = p2_ledger.build_ledger(keys)
+    ledger = p2_ledger.build_ledger([keys])
     assert {(r.first_id, r.copy_id) for r in p2_ledger.copies(keys, ledger).collect()} == {("s0", f"s{i}") for i in range(1, len(same))} | {("c0", f"c{i}") for i in range(1, len(chain))}
     assert sorted(r.copies for r in p2_ledger.groups(ledger).select("group", "copies").distinct().collect()) == [1, 1, len(chain), len(same)]
 
