@@ -9,8 +9,10 @@ A shard is packed by bin completion: the best-fit-decreasing packing is the incu
 containers than the lower bound (the larger of the volume bound and the Martello-Toth bound), branch and
 bound looks for fewer. It takes the largest remaining document, enumerates fillings of the rest of its
 container that no other filling dominates, goes on with the one of least waste, and gives up a branch
-whose waste so far can't lead to fewer containers than the incumbent. ``NODES`` bounds the search in a
-shard; then the incumbent stands.
+whose waste so far can't lead to fewer containers than the incumbent. A search with a budget (``NODES`` containers
+opened, ``KEEP`` fillings of each) ends early with the incumbent; without one (``nodes=None, keep=None``) it
+enumerates every undominated filling and its result is the least number of containers. ``packing_report``
+says how many shards are at the bound and what the search added.
 
 Defined cases: null and blank texts, and texts without a token, need no container and have no row. Equal
 rows are packed as often as they occur. A capacity that is null or less than 1 is an error, and so are more
@@ -135,12 +137,53 @@ class _Rest:
         self.count[s] += 1
 
 
-def fillings(rest: _Rest, room: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of ``room``, least waste first.
+def _dominated(rest: _Rest, waste: int, chosen: tuple[int, ...]) -> bool:
+    """Whether an item can give way to a larger one, or two to one, without more in the container than fits."""
+    have = {s: chosen.count(s) for s in chosen}
 
-    Largest sizes first, until nothing fits; then the last three choices are enumerated anew. A filling is
-    dominated if one of its items can give way to a larger remaining one without overflow.
+    def free(low: int, high: int) -> bool:
+        for k in range(bisect_left(rest.keys, low), len(rest.keys)):
+            s = rest.keys[k]
+            if s > high:
+                return False
+            if rest.count[s] > have.get(s, 0):
+                return True
+        return False
+
+    if any(free(s + 1, s + waste) for s in have):
+        return True
+    return any(free(a + b, a + b + waste) for i, a in enumerate(chosen) for b in chosen[i + 1 :])
+
+
+def every_filling(rest: _Rest, room: int) -> Iterator[tuple[int, ...]]:
+    """All undominated fillings of ``room``, those with the largest items first; a container is never left open for an item that fits."""
+
+    def extend(chosen: tuple[int, ...], left: int, top: int) -> Iterator[tuple[int, ...]]:
+        at = bisect_right(rest.keys, min(left, top))
+        for s in rest.keys[:at][::-1]:
+            if rest.count.get(s, 0) > 0:
+                rest.take(s)
+                yield from extend((*chosen, s), left - s, s)
+                rest.put(s)
+        if not rest.keys or rest.keys[0] > left:
+            for s in chosen:
+                rest.put(s)
+            good = not _dominated(rest, left, chosen)
+            for s in chosen:
+                rest.take(s)
+            if good:
+                yield chosen
+
+    yield from extend((), room, room)
+
+
+def fillings(rest: _Rest, room: int, keep: int | None = KEEP) -> list[tuple[int, ...]]:
+    """Undominated fillings of ``room``, least waste first; all of them without ``keep``.
+
+    With it the largest sizes go first, until nothing fits, and the last three choices are enumerated anew.
     """
+    if keep is None:
+        return sorted(dict.fromkeys(every_filling(rest, room)), key=lambda c: -sum(c))
     base: list[int] = []
     left = room
     while left and rest.keys and (at := bisect_right(rest.keys, left)):
@@ -174,22 +217,14 @@ def fillings(rest: _Rest, room: int) -> list[tuple[int, ...]]:
             rest.put(s)
 
     extend((), gap, gap)
-
-    def dominated(waste: int, chosen: tuple[int, ...]) -> bool:
-        for s in set(chosen):
-            at = bisect_right(rest.keys, s)
-            if at < len(rest.keys) and rest.keys[at] - s <= waste and rest.count[rest.keys[at]] > chosen.count(rest.keys[at]):
-                return True
-        return False
-
     found.sort()
-    good = [c for w, c in found if not w or not dominated(w, c)] or [c for _, c in found[:1]]
+    good = [c for w, c in found if not w or not _dominated(rest, w, c)] or [c for _, c in found[:1]]
     for s in fixed:
         rest.put(s)
-    return [(*fixed, *c) for c in dict.fromkeys(good)][:KEEP]
+    return [(*fixed, *c) for c in dict.fromkeys(good)][:keep]
 
 
-def complete(sizes: list[int], cap: int, fewer_than: int, nodes: int = NODES) -> list[list[int]] | None:
+def complete(sizes: list[int], cap: int, fewer_than: int, nodes: int | None = NODES, keep: int | None = KEEP) -> list[list[int]] | None:
     """Containers (as sizes), fewer than ``fewer_than``, or None if the search finds none within ``nodes``."""
     may_waste = (fewer_than - 1) * cap - sum(sizes)
     rest = _Rest(sizes)
@@ -197,12 +232,13 @@ def complete(sizes: list[int], cap: int, fewer_than: int, nodes: int = NODES) ->
     bins: list[list[int]] = []
     waste = 0
     while rest.keys:
-        nodes -= 1
-        if nodes < 0:
-            return None
+        if nodes is not None:
+            nodes -= 1
+            if nodes < 0:
+                return None
         big = rest.keys[-1]
         rest.take(big)
-        options = iter(fillings(rest, cap - big))
+        options = iter(fillings(rest, cap - big, keep))
         rest.put(big)
         stack.append((big, options, waste))
         while stack:
@@ -227,28 +263,37 @@ def complete(sizes: list[int], cap: int, fewer_than: int, nodes: int = NODES) ->
     return bins
 
 
-def pack(sizes: list[int], cap: int) -> list[list[int]]:
-    """Containers as lists of places in ``sizes``; no size is over ``cap``."""
+def pack(sizes: list[int], cap: int, nodes: int | None = NODES, keep: int | None = KEEP) -> list[list[int]]:
+    """Containers as lists of places in ``sizes``; no size is over ``cap``. Without a budget it is the least number."""
+    return _pack(sizes, cap, nodes, keep)[0]
+
+
+def _pack(sizes: list[int], cap: int, nodes: int | None = NODES, keep: int | None = KEEP) -> tuple[list[list[int]], int, int]:
+    """``pack``, the lower bound, and how many containers best fit has."""
     order = sorted(range(len(sizes)), key=lambda i: -sizes[i])
     falling = [sizes[i] for i in order]
     incumbent = best_fit(falling, cap)
-    if len(incumbent) > lower_bound(falling, cap) and (better := complete(falling, cap, len(incumbent))):
+    bound, first = lower_bound(falling, cap), len(incumbent)
+    while len(incumbent) > bound and (better := complete(falling, cap, len(incumbent), nodes, keep)):
         places: dict[int, list[int]] = {}
         for k, s in enumerate(falling):
             places.setdefault(s, []).append(k)
         incumbent = [[places[s].pop() for s in b] for b in better]
-    return [[order[k] for k in b] for b in incumbent]
+    return [[order[k] for k in b] for b in incumbent], bound, first
 
 
 PACKED = pa.schema([("profile", pa.string()), ("container", pa.string()), ("doc_id", pa.int64()), ("piece", pa.int64()), ("tokens", pa.int64())])
+REPORT = pa.schema([("profile", pa.string()), ("shard", pa.int64()), ("bound", pa.int64()), ("best_fit", pa.int64()), ("packed", pa.int64())])
 
 
-def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Packs each (profile, shard); the rows come sorted by them."""
+def _packer(batches: Iterator[pa.RecordBatch], nodes: int | None = NODES, keep: int | None = KEEP, report: bool = False) -> Iterator[pa.RecordBatch]:
+    """Packs each (profile, shard), or reports on it; the rows come sorted by them."""
 
     def flush(key: tuple, rows: list[tuple]) -> pa.RecordBatch:
         profile, shard, cap = key
-        bins = pack([r[2] for r in rows], cap)
+        bins, bound, first = _pack([r[2] for r in rows], cap, nodes, keep)
+        if report:
+            return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((profile, shard, bound, first, len(bins)), REPORT)], schema=REPORT)
         out = [(profile, f"{shard}-{n}", rows[i][0], rows[i][1], rows[i][2]) for n, b in enumerate(bins) for i in b]
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*out), PACKED)], schema=PACKED)
 
@@ -265,8 +310,8 @@ def _packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield flush(now, rows)
 
 
-def pack_documents(sizes: DataFrame, profiles: DataFrame, shard: int = SHARD) -> DataFrame:
-    """(profile, container, doc_id, piece, tokens): ``piece`` counts the parts of a document from 0."""
+def _items(sizes: DataFrame, profiles: DataFrame, shard: int) -> tuple[DataFrame, DataFrame]:
+    """The items of each profile and shard, sorted by them, and the containers that long documents fill alone."""
     every = profiles.select("profile", F.col("capacity_tokens").cast("long").alias("cap")).limit(MAX_PROFILES + 1).collect()
     if len(every) > MAX_PROFILES or any(r["cap"] is None or r["cap"] < 1 for r in every):
         raise ValueError(f"profiles need capacities of 1 and more, and there may be {MAX_PROFILES} of them")
@@ -276,9 +321,22 @@ def pack_documents(sizes: DataFrame, profiles: DataFrame, shard: int = SHARD) ->
     full = each.where("whole > 0").select("profile", "capacity", "doc_id", F.explode(F.expr("sequence(0L, whole - 1)")).alias("piece"))
     full = full.select("profile", F.concat(F.lit("full-"), "doc_id", F.lit("-"), "piece").alias("container"), "doc_id", "piece", F.col("capacity").alias("tokens"))
     items = each.select("profile", F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"), "capacity", "doc_id", F.col("whole").alias("piece"), (F.col("tokens") - F.col("whole") * F.col("capacity")).alias("tokens")).where("tokens > 0")
-    parts = items.repartition("profile", "shard").sortWithinPartitions("profile", "shard")
+    return items.repartition("profile", "shard").sortWithinPartitions("profile", "shard"), full
+
+
+def pack_documents(sizes: DataFrame, profiles: DataFrame, shard: int = SHARD, nodes: int | None = NODES, keep: int | None = KEEP) -> DataFrame:
+    """(profile, container, doc_id, piece, tokens): ``piece`` counts the parts of a document from 0."""
+    items, full = _items(sizes, profiles, shard)
     spec = "profile string, container string, doc_id long, piece long, tokens long"
-    return parts.mapInArrow(_packer, spec).unionByName(full)
+    return items.mapInArrow(lambda batches: _packer(batches, nodes, keep), spec).unionByName(full)
+
+
+def packing_report(sizes: DataFrame, profiles: DataFrame, shard: int = SHARD, nodes: int | None = NODES, keep: int | None = KEEP) -> DataFrame:
+    """(profile, shards, bound, best_fit, packed, at_bound, improved): containers of all shards, and how many shards are at their bound or bettered by the search."""
+    spec = "profile string, shard long, bound long, best_fit long, packed long"
+    each = _items(sizes, profiles, shard)[0].mapInArrow(lambda batches: _packer(batches, nodes, keep, True), spec)
+    count = lambda c: F.sum(c.cast("int"))
+    return each.groupBy("profile").agg(F.count("*").alias("shards"), *(F.sum(c).alias(c) for c in ("bound", "best_fit", "packed")), count(F.col("packed") == F.col("bound")).alias("at_bound"), count(F.col("packed") < F.col("best_fit")).alias("improved"))
 
 
 def p7_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -293,5 +351,11 @@ def p7_waste(spark: SparkSession, sf_dir: str) -> DataFrame:
     return by.join(F.broadcast(table(spark, sf_dir, "pack_profile")), "profile").select("profile", "containers", "tokens", (1 - F.col("tokens") / (F.col("containers") * F.col("capacity_tokens"))).alias("unused"))
 
 
-QUERIES = {"p7_containers": p7_containers, "p7_waste": p7_waste}
+def p7_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the search adds to best fit, and how far the packing is from the bound."""
+    sizes = written(token_sizes(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return packing_report(sizes, table(spark, sf_dir, "pack_profile"))
+
+
+QUERIES = {"p7_containers": p7_containers, "p7_waste": p7_waste, "p7_search": p7_search}
 SQL: dict[str, str] = {}

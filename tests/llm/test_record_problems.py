@@ -250,6 +250,14 @@ def optimum(sizes, cap):
     return best
 
 
+@pytest.mark.parametrize("seed", range(25))
+def test_packing_without_budget_is_exact(seed):
+    rng = random.Random(700 + seed)
+    sizes = [rng.choice([rng.randint(20, 50), rng.randint(1, 100), 34]) for _ in range(10)]
+    bins = p7_packing.pack(sizes, 100, nodes=None, keep=None)
+    assert len(bins) == optimum(sizes, 100) and sorted(i for b in bins for i in b) == list(range(10)) and all(sum(sizes[i] for i in b) <= 100 for b in bins)
+
+
 @pytest.mark.parametrize("seed", range(15))
 def test_packing_against_exhaustive_search(seed):
     rng = random.Random(100 + seed)
@@ -281,5 +289,8 @@ def test_pack_documents(spark):
         assert {r.doc_id for r in own} == {1, 2, 5, 6}
         assert all(len([r for r in own if r.doc_id == d]) == 1 for d in (2,))
     assert p7_packing.pack_documents(sizes.limit(0), caps).count() == 0 and p7_packing.pack_documents(sizes, caps.limit(0)).count() == 0
+    for r in p7_packing.packing_report(sizes, caps).collect():
+        assert r.bound <= r.packed <= r.best_fit and r.shards == 1 and r.at_bound <= 1
+    assert p7_packing.packing_report(sizes.limit(0), caps).count() == 0
     with pytest.raises(ValueError):
         p7_packing.pack_documents(sizes, spark.createDataFrame([("s", None)], "profile string, capacity_tokens int"))
