@@ -133,7 +133,7 @@ def table(text: str | None, most: int = 500) -> list[str]:
     lines = [x for x in (text or "").split("\n") if x.strip()]
     if not lines:
         return []
-    rule = next((i for i, x in enumerate(lines[:5]) if i and RULE.match(x)), None)
+    rule = next((i for i, x in enumerate(lines) if i and RULE.match(x)), None)
     head = lines[: rule + 1] if rule is not None else lines[:1]
     rows = lines[len(head) :]
     if not rows:
@@ -174,6 +174,29 @@ def items(text: str | None, most: int = 500) -> list[str]:
     return pack(parts, most, "\n")
 
 
+def token_overlap(chunks: list[str], overlap: int, encode, decode) -> list[str]:
+    """Each chunk after the last ``overlap`` tokens of the original chunk before it; ``encode`` and ``decode`` are a tokenizer's."""
+    return chunks if overlap <= 0 else [c if not i else decode(encode(chunks[i - 1])[-overlap:]) + c for i, c in enumerate(chunks)]
+
+
+def simple(text: str | None, most: int = 1000) -> list[str]:
+    """Paragraphs, or sentences of long ones, packed by their lengths alone; what joins them doesn't count."""
+    parts = [s for p in paragraphs(text or "") for s in ([p] if len(p) <= most else sentences(p))]
+    return pack(parts, most, "\n\n", 0)
+
+
+def by_topic(text: str | None, topic, most: int = 1000, least: int = 50, stretch: float = 1.2) -> list[str]:
+    """Paragraphs packed, then neighbours of one topic merged up to ``stretch`` times the size; ``topic`` names that of a text of ``least`` characters and more."""
+    out: list[tuple[str, str | None]] = []
+    for c in pack(paragraphs(text or ""), most, "\n\n"):
+        kind = topic(c) if len(c) >= least else None
+        if out and kind is not None and out[-1][1] == kind and len(out[-1][0]) + len(c) + 2 <= stretch * most:
+            out[-1] = (f"{out[-1][0]}\n\n{c}", kind)
+        else:
+            out.append((c, kind))
+    return [c for c, _ in out]
+
+
 def share_of(lines: list[str], test) -> float:
     return sum(1 for x in lines if test(x)) / len(lines) if lines else 0.0
 
@@ -189,13 +212,20 @@ def content_scores(text: str | None) -> dict[str, float]:
         "heading": share_of(lines, lambda x: bool(re.match(r"#{1,6}\s|[A-Z][A-Z\s]+$", x))),
         "dialogue": share_of(lines, lambda x: bool(re.match(r"[A-Z][\w ]{0,20}:\s", x))),
         "technical": min(1.0, len(re.findall(r"\b\w+_\w+\b|\b[a-z]+[A-Z]\w+\b|`[^`]+`", text or "")) / max(1, len((text or "").split())) * 5),
+        "math": share_of(lines, lambda x: bool(re.search(r"\$[^$\s][^$]*\$|\\(?:frac|sum|int|begin\{(?:equation|align))|[=<>≤≥]\s*\S+\s*[-+*/^]\s*\S", x))),
+        "citation": min(1.0, len(re.findall(r"\[\d+\]|\([A-Z][a-z]+[^()]{0,40},\s*\d{4}\)|\bet al\.", text or "")) / max(1, len(sentences(text or "")))),
     }
     scores["prose"] = max(0.0, 1.0 - max(scores.values()))
+    kinds = sum(1 for k in ("code", "table", "list", "heading") if scores[k] > 0.1)
+    scores["structured"] = min(1.0, kinds / 3) if kinds > 1 else 0.0
+    words = re.findall(r"\w+", (text or "").lower())
+    variety = len(set(words)) / len(words) if words else 0.5
+    scores["dense"], scores["sparse"] = float(variety > 0.8 and len(words) > 50), float(variety < 0.3 and len(words) > 50)
     return scores
 
 
 # Factors of the chunk size by content type.
-SIZE_FACTORS = {"code": 1.5, "table": 2.0, "list": 1.2, "heading": 0.8, "dialogue": 1.1, "technical": 0.8, "prose": 1.0}
+SIZE_FACTORS = {"code": 0.5, "table": 0.4, "list": 0.6, "prose": 1.0, "heading": 1.2, "dialogue": 0.8, "technical": 0.7, "math": 0.5, "citation": 0.9, "structured": 0.7, "dense": 0.6, "sparse": 1.5}
 
 
 def best_size(scores: dict[str, float], base: int = 500) -> int:
@@ -229,13 +259,14 @@ def _lines(text: str, most: int) -> list[str]:
 def adaptive(text: str | None, most: int = 500) -> list[str]:
     """By the dominant content; several kinds in a long text are cut each by its own rule."""
     s = content_scores(text)
+    size = min(most, best_size(s, most))
     kinds = [k for k in ("code", "table", "list") if s[k] > 0.15]
-    if len(text or "") > 1000 and (len(kinds) > 1 or kinds and s["prose"] > 0.3):
-        return mixed(text, most)
+    if len(text or "") > 1000 and (s["structured"] > 0.5 or kinds and s["prose"] > 0.3):
+        return mixed(text, size)
     for kind, fn in (("code", code), ("table", table), ("list", items)):
         if s[kind] > 0.4:
-            return fn(text, most)
-    return prose(text, min(most, 400) if s["technical"] > 0.5 else most)
+            return fn(text, size)
+    return prose(text, min(size, 400) if s["technical"] > 0.5 else size)
 
 
-METHODS = {"windows": windows, "smart": smart, "headings": by_headings, "cascade": cascade, "prose": prose, "code": code, "table": table, "list": items, "mixed": mixed, "adaptive": adaptive}
+METHODS = {"windows": windows, "smart": smart, "headings": by_headings, "cascade": cascade, "simple": simple, "prose": prose, "code": code, "table": table, "list": items, "mixed": mixed, "adaptive": adaptive}

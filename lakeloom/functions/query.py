@@ -79,6 +79,54 @@ def analysis(c: Column, default_alpha: float = 0.5) -> Column:
     )
 
 
+# Indicator words of the other two analyses.
+SERVICE_FACTUAL = ("who", "what", "when", "where", "which", "list", "name")
+SERVICE_CONCEPTUAL = ("why", "how", "explain", "describe", "compare", "analyze", "evaluate")
+
+
+def analysis_cli(c: Column, default_alpha: float = 0.5) -> Column:
+    """The command line's analysis: both scores count the same indicators, so quotes and length decide."""
+    w, n = F.array_distinct(plain_split(F.lower(c))), F.size(plain_split(c))
+    quoted = F.size(F.regexp_extract_all(c, F.lit('"([^"]*)"'), F.lit(1)))
+    asked = _count(w, SERVICE_FACTUAL)
+    factual, conceptual = asked + quoted, asked + (n > 15).cast("int")
+    pick = lambda f, k, b: F.when(factual > conceptual, f).when(conceptual > factual, k).otherwise(b)
+    return F.struct(
+        F.round(pick(F.lit(max(0.3, default_alpha - 0.2)), F.lit(min(0.7, default_alpha + 0.2)), F.lit(default_alpha)), 6).alias("alpha"),
+        pick(F.lit("hybrid_bm25_heavy"), F.lit("hybrid_vector_heavy"), F.lit("hybrid_balanced")).alias("metric"),
+        ((n < 8) & (F.size(cli_entities(c)) < 2) & (quoted == 0)).alias("expansions_needed"),
+    )
+
+
+def cli_entities(c: Column) -> Column:
+    """As ``entities``, stop words too."""
+    found = [F.regexp_extract_all(c, F.lit(p), F.lit(1)) for p in ('"([^"]*)"', r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b", r"\b([a-zA-Z]+(?:[_\-][a-zA-Z]+)+)\b", r"\b(\d+(?:\.\d+)?)\b")]
+    return F.array_sort(F.array_distinct(F.concat(*found)))
+
+
+def analysis_service(c: Column) -> Column:
+    """The service's analysis: type, weight, fusion, and the retrievers and reranker that its strategy asks for."""
+    w, n = F.array_distinct(plain_split(F.lower(c))), F.size(plain_split(c))
+    factual, conceptual = _count(w, SERVICE_FACTUAL), _count(w, SERVICE_CONCEPTUAL)
+    ends = F.size(F.regexp_extract_all(c, F.lit(r"([.!?]+)"), F.lit(1)))
+    found = F.size(F.regexp_extract_all(c, F.lit('"([^"]*)"'), F.lit(1))) + F.size(F.regexp_extract_all(c, F.lit(r"\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b"), F.lit(1)))
+    hard = (n > 10) | (ends > 1)
+    pick = lambda f, k, b: F.when(factual > conceptual, f).when(conceptual > factual, k).otherwise(b)
+    return F.struct(
+        pick(F.lit("factual"), F.lit("conceptual"), F.lit("balanced")).alias("query_type"),
+        pick(F.lit(0.3), F.lit(0.7), F.lit(0.5)).alias("alpha"),
+        pick(F.lit("rrf"), F.lit("softmax"), F.lit("linear")).alias("fusion_method"),
+        pick(F.lit("bm25"), F.lit("vector"), F.lit("hybrid")).alias("primary_retriever"),
+        pick(F.lit("vector"), F.lit("bm25"), F.lit(None).cast("string")).alias("secondary_retriever"),
+        pick(F.lit(False), F.lit(True), hard).alias("use_colbert"),
+        pick(found > 0, F.lit(False), F.lit(True)).alias("use_splade"),
+        pick(F.when(found > 1, "mmr"), F.lit("context_aware"), F.when(hard, "diversity").otherwise("mmr")).alias("rerank_method"),
+        found.alias("entity_count"),
+        (ends + 1).alias("sentence_count"),
+        hard.alias("is_complex"),
+    )
+
+
 def _strategy(primary: str, secondary: str | None, weight: float, method: str, threshold: float) -> Column:
     return F.struct(F.lit(primary).alias("primary_retriever"), F.lit(secondary).cast("string").alias("secondary_retriever"), F.lit(weight).alias("fusion_weight"), F.lit(method).alias("fusion_method"), F.lit(threshold).alias("rerank_threshold"))
 
@@ -127,6 +175,7 @@ def selector_features(c: Column) -> Column:
     return F.struct(
         n.alias("word_count"),
         sentences.alias("sentence_count"),
+        F.round(F.aggregate(w, F.lit(0), lambda s, x: s + F.length(x)) / F.greatest(F.lit(1), n), 6).alias("avg_word_length"),
         c.rlike(r"[^a-zA-Z0-9\s]").alias("has_special_characters"),
         c.rlike(r"\d").alias("has_numbers"),
         asked.alias("is_question"),

@@ -173,6 +173,73 @@ ENTITY_PATTERNS = {
 }
 
 
+# Words that end the names of organisations and of places, the phone pattern, and abbreviations of organisations.
+ORGANISATIONS = ("Inc", "LLC", "Ltd", "Limited", "Corp", "Corporation", "Company", "Co", "GmbH", "AG", "Foundation", "Institute", "University", "College", "School", "Association", "Society", "Partners", "Group", "Team", "Department")
+METADATA_ORGANISATIONS = ("Inc", "LLC", "Ltd", "Corporation", "Corp", "Company", "Co", "GmbH", "Limited", "Association", "Foundation", "Institute", "University", "College")
+PLACES = ("Street", "Avenue", "Road", "Boulevard", "Lane", "Drive", "Place", "Square", "Highway", "Bridge", "Park", "City", "Town", "Village", "County", "District", "State", "Province", "Country", "Region", "Area", "Valley", "Mountain", "Island", "River", "Lake", "Ocean", "Sea", "Bay", "Coast", "Port", "Airport")
+PHONE = r"\b(?:\+\d{1,3}\s?)?(?:\(\d{1,4}\)\s?)?(?:\d{1,4}[-.\s]?){1,4}\d{1,4}\b"
+ABBREVIATIONS = {
+    "USA": "United States of America",
+    "US": "United States",
+    "UK": "United Kingdom",
+    "EU": "European Union",
+    "UN": "United Nations",
+    "CEO": "Chief Executive Officer",
+    "CFO": "Chief Financial Officer",
+    "CTO": "Chief Technology Officer",
+    "VP": "Vice President",
+    "Dr.": "Doctor",
+    "Prof.": "Professor",
+    "Mr.": "Mister",
+    "Mrs.": "Missus",
+    "MS": "Microsoft",
+    "FB": "Facebook",
+    "AMZN": "Amazon",
+    "GOOG": "Google",
+    "AAPL": "Apple",
+    "IBM": "International Business Machines",
+}
+TITLES = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.")
+
+
+def names_before(c: Column, words: tuple[str, ...]) -> Column:
+    """Distinct runs of words from a capital letter to one of ``words``, in alphabetical order; the white space before it becomes one space."""
+    each = [F.transform(F.regexp_extract_all(c, F.lit(rf"\b([A-Z][A-Za-z0-9\s&'-]+)\s+{w}\b"), F.lit(1)), lambda x: F.concat(x, F.lit(" "), F.lit(w))) for w in words]  # noqa: B023
+    return F.array_sort(F.array_distinct(F.concat(*each)))
+
+
+def all_entities(c: Column) -> Column:
+    """As ``entities``, with PHONE, ORGANIZATION and LOCATION."""
+    more = [F.lit("PHONE"), F.array_sort(F.array_distinct(F.regexp_extract_all(c, F.lit(PHONE), F.lit(0)))), F.lit("ORGANIZATION"), names_before(c, ORGANISATIONS), F.lit("LOCATION"), names_before(c, PLACES)]
+    return F.map_concat(entities(c), F.map_filter(F.create_map(*more), lambda k, v: F.size(v) > 0))
+
+
+def normal_entity(kind: Column, entity: Column) -> Column:
+    """The normal form of an entity: persons without titles, organisations without abbreviation, dates in ISO form."""
+    person = F.regexp_replace(F.trim(F.regexp_replace(entity, "(?:" + "|".join(t.replace(".", r"\.") for t in TITLES) + r") ", "")), r"\s+", " ")
+    full = F.element_at(F.create_map(*(F.lit(x) for pair in ABBREVIATIONS.items() for x in pair)), entity)
+    return F.when(kind == "PERSON", person).when(kind == "ORGANIZATION", F.coalesce(full, entity)).when(kind == "DATE", F.coalesce(dates(entity)[0], entity)).otherwise(entity)
+
+
+def references(c: Column) -> Column:
+    """Citations, each once, in order of kind: (Author, year), [n], and the entries of the last reference section."""
+    harvard = r"\(([A-Z][a-z]+(?:[-\s][A-Z][a-z]+)*)(?:[\s,]+(?:et al\.?|and)[\s,]+[A-Z][a-z]+)*[\s,]+(\d{4})\)"
+    whole = F.regexp_extract_all(c, F.lit(harvard), F.lit(0))
+    authors = F.transform(whole, lambda x: F.concat(F.regexp_extract(x, harvard, 1), F.lit(", "), F.regexp_extract(x, harvard, 2)))
+    numbers = F.transform(F.regexp_extract_all(c, F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.concat(F.lit("["), x, F.lit("]")))
+    parts = F.split(c, r"(?m)^(?:References|Bibliography|Works Cited|Sources)\s*$")
+    lines = F.transform(F.split(F.element_at(parts, -1), "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    empty = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now"))
+    put = lambda a: F.when(a["now"] != "", F.concat(a["done"], F.array(a["now"]))).otherwise(a["done"])
+
+    def step(a: Column, x: Column) -> Column:
+        longer = F.struct(a["done"].alias("done"), F.when(a["now"] != "", F.concat(a["now"], F.lit(" "), x)).otherwise(F.lit("")).alias("now"))
+        return F.when(x == "", F.struct(put(a).alias("done"), F.lit("").alias("now"))).when(x.rlike("^[A-Z]"), F.struct(put(a).alias("done"), x.alias("now"))).otherwise(longer)
+
+    listed = F.when(F.size(parts) > 1, F.aggregate(lines, empty, step, put)).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(authors, numbers, listed))
+
+
 def entities(c: Column) -> Column:
     """MAP<type, distinct matches in alphabetical order>, types without a match left out."""
     pairs = []

@@ -6,8 +6,12 @@ one, sizes prune, the similarity is computed exactly. Identical sets collapse fi
 
 from __future__ import annotations
 
+import zlib
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -28,19 +32,57 @@ def drop_exact(docs: DataFrame, key: str = "id", text: str = "text") -> DataFram
     return docs.join(first.select(F.col("_first").alias(key)), key, "left_semi")
 
 
+#: Hash buckets of the element counts (what the driver gathers), and how many sets an element may be shared by before its block is split.
+BUCKETS, BLOCK = 1 << 18, 20_000
+
+
+def _prefixes(counts, threshold: float):
+    """(e, salt, looks, id, size, place): each set under its rarest elements; once as filed, once for each part of a block as looking."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of_bucket = counts.value
+        for b in batches:
+            lists = b.column(1)
+            ends = lists.offsets.to_numpy()
+            h, n = lists.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
+            doc = np.repeat(np.arange(len(n)), n)
+            count = of_bucket[np.mod(h, BUCKETS)]
+            order = np.lexsort((h, count, doc))
+            h, count = h[order], count[order].astype(np.int64)
+            place = np.arange(len(h)) - (ends[:-1] - ends[0])[doc] + 1
+            at = np.flatnonzero(place <= (n - np.ceil(n * threshold - 1e-9) + 1)[doc])
+            parts = np.maximum(1, -(-count[at] // BLOCK))
+            mine = np.array([zlib.crc32(str(i).encode()) for i in b.column(0).to_pylist()])[doc[at]] % parts  # by the id, so that a repeated task files alike
+            wide = np.repeat(at, parts)
+            salts = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
+            for looks, rows, salt in ((False, at, mine), (True, wide, salts)):
+                d = doc[rows]
+                cols = [pa.array(h[rows]), pa.array(salt.astype(np.int32)), pa.array(np.full(len(rows), looks)), b.column(0).take(pa.array(d)), pa.array(n[d].astype(np.int32)), pa.array(place[rows].astype(np.int32))]
+                yield pa.RecordBatch.from_arrays(cols, names=["e", "salt", "looks", "id", "size", "place"])
+
+    return run
+
+
 def similar_pairs(docs: DataFrame, elements: Column, threshold: float = 0.85, key: str = "id") -> DataFrame:
-    """(a, b, similarity), a < b, of representatives of different sets; and of copies with their representative (similarity 1)."""
+    """(a, b, similarity), a < b, of representatives of different sets; and of copies with their representative (similarity 1).
+
+    Elements are ordered by the count of their hash bucket, which changes only what a set is filed under; an element
+    shared by more than ``BLOCK`` sets is split by salt, and those that look go to every part.
+    """
     sets = docs.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(elements)).alias("s")).where(F.size("s") > 0)
-    sets = written(sets.select("id", "s", F.sha2(F.concat_ws("\u0001", "s"), 256).alias("h")))
-    rep = sets.groupBy("h").agg(F.min("id").alias("rep"))
-    copies = sets.select("id", "h").join(rep, "h").where("id <> rep").select(F.col("rep").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    reps = sets.join(rep.select(F.col("rep").alias("id")), "id", "left_semi").select("id", "s")
-    count = reps.select(F.explode("s").alias("e")).groupBy("e").agg(F.count("*").alias("n"))
-    one = reps.select("id", F.size("s").alias("size"), F.explode("s").alias("e")).join(count, "e")
-    place = F.row_number().over(Window.partitionBy("id").orderBy("n", "e"))
-    filed = one.withColumn("place", place).where(F.col("place") <= F.col("size") - F.ceil(F.col("size") * threshold - 1e-9) + 1).select("e", "id", "size", "place")
-    x, y = filed.alias("x"), filed.alias("y")
-    fits = (F.col("x.e") == F.col("y.e")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9)
+    sets = written(sets.select("id", "s", F.unhex(F.sha2(F.concat_ws("\u0001", "s"), 256)).alias("h")))
+    whole = written(sets.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.count("*").alias("n")))
+    several = whole.where("n > 1").select("h", F.col("id").alias("a"))
+    copies = sets.select("id", "h").join(several, "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
+    reps = whole.select("id", "s")
+    hashed = reps.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("hs"))
+    got = hashed.select(F.explode(F.transform("hs", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))).alias("b")).groupBy("b").count().toArrow()  # BUCKETS rows at most
+    counts = np.zeros(BUCKETS, np.int64)
+    counts[got["b"].to_numpy()] = got["count"].to_numpy()
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    rows = hashed.mapInArrow(_prefixes(shared, threshold), f"e long, salt int, looks boolean, id {docs.schema[key].dataType.simpleString()}, size int, place int")
+    x, y = rows.where("not looks").alias("x"), rows.where("looks").alias("y")
+    fits = (F.col("x.e") == F.col("y.e")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9)
     left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
     enough = left >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9
     cand = x.join(y, fits & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
@@ -79,6 +121,13 @@ def clusters(pairs: DataFrame) -> DataFrame:
     return label.join(label.groupBy("label").agg(F.min("id").alias("cluster")), "label").select("id", "cluster")
 
 
+def detect_duplicates(docs: DataFrame, threshold: float = 0.85, kind: str = "shingle", key: str = "id", text: str = "text") -> DataFrame:
+    """(kind, cluster, size): exact groups by hash and clusters of similar texts, named by their smallest id."""
+    exact = exact_groups(docs, key, text).select(F.lit("exact").alias("kind"), F.col("first_id").alias("cluster"), F.col("copies").alias("size"))
+    near = clusters(near_duplicates(docs, threshold, kind, key, text)).groupBy("cluster").agg(F.count("*").alias("size")).select(F.lit("near").alias("kind"), "cluster", "size")
+    return exact.unionByName(near)
+
+
 def merge(docs: DataFrame, members: DataFrame, key: str = "id", text: str = "text", source: str = "source") -> DataFrame:
     """One row for each cluster: the longest text (the first on a tie), the distinct sources, and what was merged."""
     m = docs.join(members.select(F.col("id").alias(key), "cluster"), key)

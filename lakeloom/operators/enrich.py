@@ -143,8 +143,9 @@ def with_normalised(df: DataFrame, text: str = "text") -> DataFrame:
     return base.mapInArrow(run, T.StructType([*base.schema.fields, T.StructField("normalized", T.StringType())]))
 
 
-def token_batches(docs: DataFrame, most_tokens: int = 8000, most_docs: int = 128, key: str = "id", text: str = "text", partitions: int = 64) -> DataFrame:
-    """(id, batch): greedy batches of estimated tokens and a number of documents, packed within hash partitions."""
+def token_batches(docs: DataFrame, most_tokens: int = 8000, most_docs: int = 128, key: str = "id", text: str = "text", partitions: int | None = None) -> DataFrame:
+    """(id, batch): greedy batches of estimated tokens and a number of documents, packed within hash partitions, by default one for about 10,000 documents."""
+    partitions = partitions or 1 + docs.count() // 10_000
     schema = f"id {docs.schema[key].dataType.simpleString()}, batch string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

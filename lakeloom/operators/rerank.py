@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import query as Q
 from ..functions import text as X
 
 MAX_HITS = 10_000
@@ -132,6 +133,38 @@ def context_aware(hits: DataFrame) -> DataFrame:
     return hits.withColumn("score", F.round(0.6 * F.col("score") + 0.4 * relevance, 6))
 
 
+def boosted(hits: DataFrame) -> DataFrame:
+    """``boost`` of (query, text): the score, .05 for each of the query's entities in the text (.2 at most), and .1 or .05 for a fitting length."""
+    cx = Q.complexity(F.col("query"))["is_complex"]
+    text = F.coalesce(F.col("text"), F.lit(""))
+    n = F.size(X.plain_split(text))
+    matches = F.size(F.filter(Q.entities(F.col("query")), lambda e: F.lower(text).contains(F.lower(e))))
+    length = F.when(cx, F.when((n >= 100) & (n <= 500), 0.1).when(n > 500, 0.05).otherwise(0.0)).otherwise(F.when(n < 100, 0.1).otherwise(0.0))
+    diverse = cx | (Q.analysis(F.col("query"))["query_type"] == "conceptual")
+    return hits.withColumn("boost", F.round(F.col("score") + F.least(F.lit(0.2), matches * 0.05) + length, 6)).withColumn("diverse", diverse)
+
+
+def context_aware_library(hits: DataFrame, weight: float = 0.3, size: int | None = None) -> DataFrame:
+    """Hits by ``boosted``; for complex and conceptual queries with more than three hits the next is the one of highest boost less ``weight``
+    times the mean inner product with those chosen. Hits without a usable vector have product 0."""
+
+    def order(pdf: pd.DataFrame) -> list[tuple[int, float]]:
+        boost, s = pdf.boost.to_numpy(float), pdf.score.to_numpy(float)
+        ranked = sorted(range(len(s)), key=lambda i: (-boost[i], i))
+        if not pdf.diverse[0] or len(s) <= 3:
+            return [(i, float(s[i])) for i in ranked]
+        x = _vectors(pdf, size)
+        chosen, left, total = [ranked[0]], set(ranked[1:]), x @ x[ranked[0]]
+        while left:
+            i = max(left, key=lambda j: (boost[j] - weight * total[j] / len(chosen), -j))
+            left.remove(i)
+            chosen.append(i)
+            total = total + x @ x[i]
+        return [(i, float(s[i])) for i in chosen]
+
+    return _per_query(boosted(hits).select("query_id", "id", "score", "vector", "boost", "diverse"), order)
+
+
 def cross_score(hits: DataFrame) -> DataFrame:
     """Offline stand-in for a cross encoder: share of the query's words in the text."""
     q = F.array_distinct(X.words(F.col("query")))
@@ -170,7 +203,7 @@ def pack_context_skipping(hits: DataFrame, budget: int = 3050, most_chars: int =
     return lists.select("query_id", fold.alias("f")).select("query_id", F.col("f.used").alias("used"), F.posexplode("f.ids").alias("place", "id"))
 
 
-RERANKERS = {"mmr": mmr, "diversity": cluster_diversity, "context_aware": context_aware, "cross_encoder": cross_score}
+RERANKERS = {"mmr": mmr, "diversity": cluster_diversity, "context_aware": context_aware_library, "context_aware_service": context_aware, "cross_encoder": cross_score}
 
 
 def reranker(name: str | None):

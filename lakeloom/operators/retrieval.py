@@ -35,45 +35,64 @@ def small(df: DataFrame, most: int = MAX_QUERIES) -> bool:
 
 
 def postings(docs: DataFrame, tokenizer=X.tokens, key: str = "id", text: str = "text") -> DataFrame:
-    """(term, id, tf, dl): one row for each term of a document; documents without a token have none."""
+    """(term, id, tf, dl): one row for each term of a document; documents without a token have none.
+
+    A document is one row, so its terms are counted where it is, without a shuffle.
+    """
     t = docs.select(F.col(key).alias("id"), tokenizer(F.col(text)).alias("toks")).where(F.size("toks") > 0)
-    one = t.select("id", F.size("toks").alias("dl"), F.explode("toks").alias("term"))
-    return one.groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    return t.mapInArrow(_count_terms, f"term string, id {t.schema['id'].dataType.simpleString()}, tf long, dl int")
 
 
-def corpus_stats(docs: DataFrame, tokenizer=X.tokens, text: str = "text") -> tuple[int, float]:
-    """Number of documents and their mean length in tokens; empty ones count, null ones as empty."""
-    dl = F.size(tokenizer(F.coalesce(F.col(text), F.lit(""))))
-    got = docs.agg(F.count("*").alias("n"), F.avg(dl).alias("avgdl")).first()
-    return got["n"], got["avgdl"] or 1.0
+def _count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        lists = b.column(1)
+        ends = lists.offsets.to_numpy()
+        n = np.diff(ends)
+        coded = lists.values.slice(ends[0], ends[-1] - ends[0]).dictionary_encode()
+        width = max(1, len(coded.dictionary))
+        pair, tf = np.unique(np.repeat(np.arange(len(n), dtype=np.int64), n) * width + coded.indices.to_numpy(), return_counts=True)
+        doc = pair // width
+        yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pair % width)), b.column(0).take(pa.array(doc)), pa.array(tf.astype(np.int64)), pa.array(n[doc].astype(np.int32))], names=["term", "id", "tf", "dl"])
 
 
 def term_stats(posts: DataFrame, n: int) -> DataFrame:
     """(term, df, idf); a negative idf is replaced by EPSILON times the mean idf of the vocabulary."""
     df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    raw = df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw"))
+    raw = written(df.select("term", "df", (F.log(n - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).alias("raw")))
     mean = raw.agg(F.avg("raw")).first()[0] or 0.0
     return raw.select("term", "df", F.when(F.col("raw") < 0, EPSILON * mean).otherwise(F.col("raw")).alias("idf"))
 
 
 @dataclass(frozen=True)
 class BM25Index:
-    """Postings (term, id, tf, dl) and the corpus figures a search needs; ``posts`` is a written table."""
+    """Postings (term, id, tf, dl), the corpus figures and the terms (term, df, idf) that a search needs; both tables are written."""
 
     posts: DataFrame
     n: int
     avgdl: float
+    terms: DataFrame | None = None
 
     def add(self, docs: DataFrame, tokenizer=X.tokens, key: str = "id", text: str = "text") -> BM25Index:
-        """With the documents that the index lacks; those it has, and empty ones, are skipped."""
+        """With the documents that the index lacks; those it has, and empty ones, are skipped. Known postings aren't written again."""
         new = docs.join(self.posts.select(F.col("id").alias(key)).distinct(), key, "left_anti")
-        n, avgdl = corpus_stats(new, tokenizer, text)
-        total = self.n + n
-        return BM25Index(written(self.posts.unionByName(postings(new, tokenizer, key, text))), total, (self.n * self.avgdl + n * avgdl) / max(1, total))
+        return _index(written(postings(new, tokenizer, key, text)), new.count(), self)
+
+    def update(self, docs: DataFrame, tokenizer=X.tokens, key: str = "id", text: str = "text") -> BM25Index:
+        """The service's rule: a batch of at least as many documents as the index has replaces it, a smaller one is added. Documents without text are skipped."""
+        some = docs.where(F.col(text).isNotNull())
+        return build_index(some, tokenizer, key, text) if some.count() >= self.n else _index(written(postings(some, tokenizer, key, text)), some.count(), self)
+
+
+def _index(posts: DataFrame, n: int, old: BM25Index | None = None) -> BM25Index:
+    """Documents without a token count in ``n`` and as empty in the mean length."""
+    tokens = posts.agg(F.sum("tf")).first()[0] or 0
+    if old is not None:
+        posts, n, tokens = old.posts.unionByName(posts), old.n + n, old.n * old.avgdl + tokens
+    return BM25Index(posts, n, tokens / n if n and tokens else 1.0, term_stats(posts, n))
 
 
 def build_index(docs: DataFrame, tokenizer=X.tokens, key: str = "id", text: str = "text") -> BM25Index:
-    return BM25Index(written(postings(docs, tokenizer, key, text)), *corpus_stats(docs, tokenizer, text))
+    return _index(written(postings(docs, tokenizer, key, text)), docs.count())
 
 
 def bm25_search(index: BM25Index, queries: DataFrame, k: int = 10, tokenizer=X.tokens, positive_only: bool = False, query: str = "query") -> DataFrame:
@@ -82,8 +101,8 @@ def bm25_search(index: BM25Index, queries: DataFrame, k: int = 10, tokenizer=X.t
     ``positive_only`` is the service form, which drops scores of 0 and less; the library form keeps what matches.
     """
     terms = queries.select("query_id", F.explode(tokenizer(F.col(query))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    asked = F.broadcast(terms) if small(queries) else terms
-    hit = index.posts.join(asked, "term").join(term_stats(index.posts, index.n), "term")
+    terms = terms.join(term_stats(index.posts, index.n) if index.terms is None else index.terms, "term")
+    hit = index.posts.join(F.broadcast(terms) if small(queries) else terms, "term")
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / index.avgdl))
     scored = hit.groupBy("query_id", "id").agg(F.round(F.sum(part), 6).alias("score"))
     return top_k(scored.where("score > 0") if positive_only else scored, k)
@@ -106,7 +125,7 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
     """(query_id, id, score, rank): a stated query set against all rows, in blocks.
 
     Queries are (query_id, vector) and must fit ``MAX_QUERIES``; each task keeps only its own k best of each query, so
-    what is shuffled is k rows for each query and task. Vectors that are null or of another length are left out.
+    what is shuffled is k rows for each query and task. Vectors that are null, of another length or not finite are left out.
     """
     rows = queries.select("query_id", F.col(vector).cast("array<double>")).limit(MAX_QUERIES + 1).collect()
     if len(rows) > MAX_QUERIES:
@@ -146,10 +165,28 @@ def dense_top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, key: str =
         if out:
             yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "id", "score"), r)) for r in out])
 
-    good = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x)))
+    good = vectors.select(F.col(key), F.col(vector).cast("array<double>").alias("v")).where((F.size("v") == dim) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))))
     return top_k(good.mapInArrow(run, f"query_id {query_type}, id {key_type}, score double"), k)
 
 
+def feedback_vectors(hits: DataFrame, docs: DataFrame, first: int = 3, key: str = "id", vector: str = "vector", size: int = 20) -> DataFrame:
+    """(query_id, vector): the mean of the whole vectors of a query's first hits, where no encoder gives one."""
+    whole = (F.size(vector) == size) & F.forall(F.col(vector), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    near = hits.where(F.col("rank") <= first).select("query_id", F.col("id").alias(key)).join(docs.where(whole).select(key, vector), key)
+    each = near.select("query_id", F.posexplode(F.col(vector).cast("array<double>")).alias("place", "x")).groupBy("query_id", "place").agg(F.avg("x").alias("x"))
+    return each.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "x"))), lambda p: p["x"]).alias("vector"))  # size numbers
+
+
+def index_score(distance: Column) -> Column:
+    """The score of a flat index from its distance: 1 less the distance, 0 beyond 1."""
+    return F.when(distance <= 1, 1 - distance).otherwise(0.0)
+
+
+def reciprocal_ranks(hits: DataFrame) -> DataFrame:
+    """Hits with 1 / rank as their score, as the command line fuses them a second time."""
+    return hits.withColumn("score", F.round(1.0 / F.col("rank"), 6))
+
+
 def merge_expansions(hits: DataFrame, k: int = 10) -> DataFrame:
     """Hits of several phrasings of a query: the best score of each id; scores of 0 and less vanish."""
     return top_k(hits.groupBy("query_id", "id").agg(F.max("score").alias("score")).where("score > 0"), k)

@@ -16,6 +16,7 @@ from ..functions import text as X
 from ..functions import vectors as V
 from ..operators import chunking, dedup, enrich, fusion, hierarchy, learning, rerank, retrieval, tables, validation
 from ..sources.io import table
+from ..sources.shared import written
 from ..streaming import events as E
 from . import pipelines
 
@@ -130,7 +131,7 @@ def query_level(spark, d):
     return asked(spark, d).select("query_id", Q.hierarchy_level(F.col("query")).alias("level"))
 
 
-@query(rf"""SELECT query_id, n AS word_count, s AS sentence_count, special AS has_special_characters, num AS has_numbers, asked AS is_question, caps AS entity_count, (n > 10 OR s > 1) AS is_complex,
+@query(rf"""SELECT query_id, n AS word_count, s AS sentence_count, round(len(regexp_replace(query, '\s', '', 'g'))::DOUBLE / greatest(1, n), 6) AS avg_word_length, special AS has_special_characters, num AS has_numbers, asked AS is_question, caps AS entity_count, (n > 10 OR s > 1) AS is_complex,
   (caps = 0 AND NOT asked AND n < 5) AS is_broad, {_n('w', ("who", "what", "when", "where", "which", "list", "name"))} AS factual_score, {_n('w', ("why", "how", "explain", "describe", "compare", "analyze", "evaluate"))} AS conceptual_score,
   (list_contains(w, 'vs') OR list_contains(w, 'versus') OR contains(lower(query), 'compare')) AS diversity_needed
 FROM (SELECT query_id, query, len(regexp_extract_all(query, '\S+')) AS n, len(regexp_extract_all(query, '[.!?]+')) + 1 AS s, regexp_matches(query, '[^a-zA-Z0-9\s]') AS special, regexp_matches(query, '\d') AS num,
@@ -139,10 +140,30 @@ def query_features(spark, d):
     return asked(spark, d).select("query_id", Q.selector_features(F.col("query")).alias("f")).select("query_id", "f.*")
 
 
+_OTHER = rf"""SELECT *, CASE WHEN f > k THEN 1 WHEN k > f THEN 2 ELSE 3 END AS kind FROM (SELECT query_id, query, n, quoted, ends, {{f}} AS f, {{k}} AS k FROM (
+  SELECT query_id, query, list_distinct({SPLIT.format(c='query')}) AS w, len(regexp_extract_all(query, '\S+')) AS n, len(regexp_extract_all(query, '"([^"]*)"', 1)) AS quoted, len(regexp_extract_all(query, '[.!?]+')) AS ends FROM query_set))"""
+_CLI = _OTHER.format(f=f"{_n('w', Q.SERVICE_FACTUAL)} + quoted", k=f"{_n('w', Q.SERVICE_FACTUAL)} + (n > 15)::INT")
+_SERVICE = _OTHER.format(f=_n("w", Q.SERVICE_FACTUAL), k=_n("w", Q.SERVICE_CONCEPTUAL))
+_CLI_ENTITIES = _ENTITIES.format(c="query").replace(f"lower(e) NOT IN {_IN(Q.ENTITY_STOPWORDS)}", "true")
+
+
+@query(f"""SELECT query_id, [0.3, 0.7, 0.5][kind]::DOUBLE AS alpha, ['hybrid_bm25_heavy', 'hybrid_vector_heavy', 'hybrid_balanced'][kind] AS metric, (n < 8 AND len({_CLI_ENTITIES}) < 2 AND quoted = 0) AS expansions_needed FROM ({_CLI})""")
+def query_analysis_cli(spark, d):
+    return asked(spark, d).select("query_id", Q.analysis_cli(F.col("query")).alias("a")).select("query_id", "a.*")
+
+
+@query(rf"""SELECT query_id, ['factual', 'conceptual', 'balanced'][kind] AS query_type, [0.3, 0.7, 0.5][kind]::DOUBLE AS alpha, ['rrf', 'softmax', 'linear'][kind] AS fusion_method, ['bm25', 'vector', 'hybrid'][kind] AS primary_retriever,
+  ['vector', 'bm25', NULL][kind] AS secondary_retriever, CASE kind WHEN 1 THEN false WHEN 2 THEN true ELSE hard END AS use_colbert, CASE kind WHEN 1 THEN found > 0 WHEN 2 THEN false ELSE true END AS use_splade,
+  CASE kind WHEN 1 THEN CASE WHEN found > 1 THEN 'mmr' END WHEN 2 THEN 'context_aware' ELSE CASE WHEN hard THEN 'diversity' ELSE 'mmr' END END AS rerank_method, found AS entity_count, ends + 1 AS sentence_count, hard AS is_complex
+FROM (SELECT *, quoted + len(regexp_extract_all(query, '\b([A-Z][a-zA-Z]*(?:\s+[A-Z][a-zA-Z]*)*)\b', 1)) AS found, (n > 10 OR ends > 1) AS hard FROM ({_SERVICE}))""")
+def query_analysis_service(spark, d):
+    return asked(spark, d).select("query_id", Q.analysis_service(F.col("query")).alias("a")).select("query_id", "a.*")
+
+
 # ---------------------------------------------------------------- retrieval
 
 
-def _bm25_sql(corpus: str, tok: str, positive: bool = False) -> str:
+def _bm25_sql(corpus: str, tok: str, positive: bool = False, k: int = 10) -> str:
     return rf"""WITH toks AS (SELECT id, {tok.format(c="coalesce(text, '')")} AS ts FROM ({corpus})),
   stats AS (SELECT count(*) AS n, avg(len(ts)) AS avgdl FROM toks),
   posts AS (SELECT id, dl, term, count(*) AS tf FROM (SELECT id, len(ts) AS dl, unnest(ts) AS term FROM toks) GROUP BY ALL),
@@ -150,7 +171,7 @@ def _bm25_sql(corpus: str, tok: str, positive: bool = False) -> str:
   idfs AS (SELECT term, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM dfs) ELSE raw END AS idf FROM dfs),
   qs AS (SELECT query_id, term, count(*) AS qtf FROM (SELECT query_id, unnest({tok.format(c='query')}) AS term FROM query_set) GROUP BY ALL),
   scored AS (SELECT query_id, id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / avgdl))), 6) AS score FROM posts JOIN qs USING (term) JOIN idfs USING (term), stats GROUP BY ALL)
-SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored {'WHERE score > 0' if positive else ''} QUALIFY rank <= 10"""
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored {'WHERE score > 0' if positive else ''} QUALIFY rank <= {k}"""
 
 
 _DOCS = "SELECT doc_id AS id, text FROM documents"
@@ -316,7 +337,11 @@ def context_packing(spark, d):
     return rerank.pack_context(_hits(spark, d).select("query_id", "id", "score", "text"), 1000).select("query_id", "id", "tokens", "used")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_LONG2[5:]}, lin AS ({_WEIGHTED.format(two=_two_sql(_MM.format(c='0.5')))}),
+  h AS (SELECT request_id AS query_id, lin.id, (length(replace(left(replace(coalesce(content, ''), chr(10), ' '), 1000), chr(0), '')) // 4) + 1 AS tokens, row_number() OVER (PARTITION BY request_id ORDER BY score DESC, lin.id) AS rn FROM lin JOIN simulated_vector_db c ON lin.id = c.id),
+  t AS (SELECT query_id, 0::BIGINT AS rn, 0::BIGINT AS sofar, NULL::VARCHAR AS id, -1::BIGINT AS place FROM h WHERE rn = 1
+    UNION ALL SELECT h.query_id, h.rn, CASE WHEN sofar + tokens <= 1000 THEN sofar + tokens ELSE sofar END, CASE WHEN sofar + tokens <= 1000 THEN h.id END, CASE WHEN sofar + tokens <= 1000 THEN place + 1 ELSE place END FROM t JOIN h ON h.query_id = t.query_id AND h.rn = t.rn + 1)
+SELECT query_id, max(sofar) OVER (PARTITION BY query_id) AS used, place::INT AS place, id FROM t QUALIFY id IS NOT NULL""")
 def context_packing_skipping(spark, d):
     return rerank.pack_context_skipping(_hits(spark, d).select("query_id", "id", "score", "text"), 1000)
 
@@ -342,14 +367,29 @@ def rerank_context(spark, d):
     return rerank.context_aware(_hits(spark, d).join(q, "query_id")).select("query_id", "id", "score")
 
 
-@query()
+_WHOLE = "len(vector) = 20 AND len(list_filter(vector, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0"
+
+
+@query(f"""WITH b AS ({_bm25_sql(_CHUNKS, TOKENS, k=20)}), c AS (SELECT id, vector FROM simulated_vector_db WHERE {_WHOLE}),
+  e AS (SELECT query_id, unnest(vector) AS x, unnest(range(1, 21)) AS place FROM b JOIN c USING (id) WHERE rank <= 3), m AS (SELECT query_id, place, avg(x) AS x FROM e GROUP BY ALL),
+  v AS (SELECT query_id, list(x ORDER BY place) AS v FROM m GROUP BY query_id),
+  f AS (SELECT query_id, id, round(CASE WHEN list_sum(list_transform(vector, lambda x: x * x)) > 0 THEN list_cosine_similarity(v, vector) ELSE 0 END, 6) AS score FROM v, c),
+  d AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM f QUALIFY rank <= 20),
+  a AS (SELECT query_id, CASE query_type WHEN 'factual' THEN 0.3 WHEN 'conceptual' THEN 0.7 ELSE 0.5 END::DOUBLE AS alpha FROM ({_AN})),
+  u AS (SELECT query_id, id, max(rv) AS rv, max(rb) AS rb FROM (SELECT query_id, id, rank AS rv, NULL AS rb FROM d UNION ALL SELECT query_id, id, NULL, rank FROM b) GROUP BY ALL),
+  n AS (SELECT query_id, count(rv) AS nv, count(rb) AS nb FROM u GROUP BY query_id),
+  r AS (SELECT query_id, id, round(alpha * (1.0 / (60 + coalesce(rv, nv + 1))) + (1 - alpha) * (1.0 / (60 + coalesce(rb, nb + 1))), 6) AS score FROM u JOIN n USING (query_id) JOIN a USING (query_id))
+SELECT query_id, id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM r QUALIFY rank <= 10""")
 def hybrid_search(spark, d):
-    """BM25 and sparse hits of each query, fused by reciprocal ranks with the weight that the query's analysis gives."""
+    """BM25 and dense hits of each query, fused by reciprocal ranks with the weight that the query's analysis gives.
+
+    No encoder is at hand, so a query's vector is the mean of those of its first three lexical hits.
+    """
     c, q = chunks(spark, d), asked(spark, d)
-    dense = retrieval.sparse_search(c, q, 20).select("query_id", "id", "score", F.lit("vector").alias("list"))
-    lexical = retrieval.bm25_search(retrieval.build_index(c), q, 20).select("query_id", "id", "score", F.lit("bm25").alias("list"))
+    found = written(retrieval.bm25_search(retrieval.build_index(c), q, 20))
+    dense = retrieval.dense_top_k(c, retrieval.feedback_vectors(found, c), 20).select("query_id", "id", "score", F.lit("vector").alias("list"))
     alpha = q.select("query_id", Q.analysis(F.col("query"))["alpha"].alias("alpha"))
-    long = dense.unionByName(lexical).join(alpha, "query_id").withColumnRenamed("query_id", "request_id")
+    long = dense.unionByName(found.select("query_id", "id", "score", F.lit("bm25").alias("list"))).join(alpha, "query_id").withColumnRenamed("query_id", "request_id")
     return retrieval.top_k(fusion.rrf(long).withColumnRenamed("request_id", "query_id"), 10)
 
 
@@ -413,6 +453,22 @@ def text_density(spark, d):
     return docs(spark, d).where("text is not null").select("doc_id", F.round(X.density(F.col("text")), 5).alias("density"))
 
 
+def _names_sql(words) -> str:
+    return "len(list_distinct(" + " || ".join(rf"list_transform(regexp_extract_all(text, '\b([A-Z][A-Za-z0-9\s&''-]+)\s+{w}\b', 1), lambda x: x || ' {w}')" for w in words) + "))"
+
+
+@query(rf"""SELECT doc_id, len(list_distinct(regexp_extract_all(text, '{X.PHONE}'))) AS phones, {_names_sql(X.ORGANISATIONS)} AS organisations, {_names_sql(X.PLACES)} AS places FROM documents WHERE text IS NOT NULL""")
+def text_names(spark, d):
+    t = docs(spark, d).where("text is not null").select("doc_id", F.size(F.array_distinct(F.regexp_extract_all("text", F.lit(X.PHONE), F.lit(0)))).alias("phones"), F.size(X.names_before(F.col("text"), X.ORGANISATIONS)).alias("organisations"), F.size(X.names_before(F.col("text"), X.PLACES)).alias("places"))
+    return t
+
+
+@query(r"""SELECT doc_id, len(list_distinct(list_transform(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: '[' || x || ']'))) AS numbered, len(list_distinct(regexp_extract_all(text, '\(([A-Z][a-z]+(?:[-\s][A-Z][a-z]+)*)(?:[\s,]+(?:et al\.?|and)[\s,]+[A-Z][a-z]+)*[\s,]+(\d{4})\)'))) > 0 AS has_author_year FROM documents WHERE text IS NOT NULL""")
+def text_references(spark, d):
+    r = docs(spark, d).where("text is not null").select("doc_id", X.references(F.col("text")).alias("r"))
+    return r.select("doc_id", F.size(F.filter("r", lambda x: x.rlike(r"^\[\d+\]$"))).alias("numbered"), F.exists("r", lambda x: x.rlike(r"^[A-Z][a-z]+(?:[-\s][A-Z][a-z]+)*, \d{4}$")).alias("has_author_year"))
+
+
 @query()
 def rich_metadata(spark, d):
     m = enrich.rich_metadata(docs(spark, d).select("doc_id", "text"))
@@ -435,7 +491,12 @@ def minhash_similarity(spark, d):
     return both.select("a", "b", F.round("similarity", 6).alias("similarity"), dedup.signature_similarity(F.col("x"), F.col("y")).alias("estimate"))
 
 
-@query()
+_COUNTS = ", ".join(f"len(list_filter(w, lambda x: x IN {_IN(ws)})) AS {lang}" for lang, ws in enrich.PROFILES.items())
+
+
+@query(rf"""WITH c AS (SELECT doc_id, text, {_COUNTS} FROM (SELECT doc_id, text, {WORDS.format(c='text')} AS w FROM documents)), m AS (SELECT *, greatest(en, fr, de, es) AS n FROM c)
+SELECT doc_id, CASE WHEN length(text) >= 20 AND n > 0 THEN CASE n WHEN fr THEN 'fr' WHEN es THEN 'es' WHEN en THEN 'en' ELSE 'de' END END AS lang,
+  CASE WHEN length(text) >= 20 AND n > 0 THEN round(n / (en + fr + de + es), 6) END AS share FROM m""")
 def language_detection(spark, d):
     return docs(spark, d).select("doc_id", enrich.language(F.col("text")).alias("l")).select("doc_id", "l.lang", F.round("l.share", 6).alias("share"))
 
@@ -466,12 +527,19 @@ def without_exact_duplicates(spark, d):
     return dedup.drop_exact(docs(spark, d), "doc_id").select("doc_id")
 
 
-@query()
+_NEAR = rf"""w AS (SELECT doc_id, list_sort(list_distinct({WORDS.format(c='text')})) AS s FROM documents WHERE text IS NOT NULL),
+  r AS (SELECT s, min(doc_id) AS rep FROM w WHERE len(s) > 0 GROUP BY s),
+  near AS (SELECT x.rep AS a, y.rep AS b, len(list_intersect(x.s, y.s)) AS n, len(x.s) + len(y.s) AS m FROM r x JOIN r y ON x.rep < y.rep AND least(len(x.s), len(y.s)) >= 0.85 * greatest(len(x.s), len(y.s))),
+  pairs AS (SELECT a, b, n / (m - n) AS similarity FROM near WHERE n >= 0.85 * (m - n) - 1e-9 UNION ALL SELECT rep, doc_id, 1.0 FROM w JOIN r USING (s) WHERE doc_id <> rep)"""
+
+
+@query(f"WITH {_NEAR} SELECT a, b, round(similarity, 6) AS similarity FROM pairs")
 def near_duplicates(spark, d):
     return dedup.near_duplicates(docs(spark, d), 0.85, "token", "doc_id").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_NEAR}, e AS (SELECT a AS x, b AS y FROM pairs UNION SELECT b, a FROM pairs), reach AS (SELECT x AS id, x AS root FROM e UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.id)
+SELECT id, min(root) AS cluster FROM reach GROUP BY id""")
 def duplicate_clusters(spark, d):
     return dedup.clusters(dedup.near_duplicates(docs(spark, d), 0.85, "token", "doc_id"))
 
@@ -529,7 +597,12 @@ def hierarchy_documents(spark, d):
     return hierarchy.document_table(hierarchy.sections(chunks(spark, d)))
 
 
-@query()
+@query(rf"""{_SECTIONS}, asked AS (SELECT query_id, query FROM query_set), dw AS (SELECT id, term, ln(1 + count(*)) AS w FROM (SELECT id, unnest({WORDS.format(c='text')}) AS term FROM ({_CHUNKS})) GROUP BY ALL),
+  qw AS (SELECT query_id, term, ln(1 + count(*)) AS qw FROM (SELECT query_id, unnest({WORDS.format(c='query')}) AS term FROM asked) GROUP BY ALL),
+  sc AS (SELECT query_id, id, round(sum(w * qw), 6) AS score FROM dw JOIN qw USING (term) GROUP BY ALL), top AS (SELECT query_id, id, score FROM sc QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) <= 5),
+  h AS (SELECT query_id, top.id, score, document_id, document_id || '-' || no AS section_id FROM top JOIN s ON s.id = top.id),
+  u AS (SELECT query_id, id, 'chunk' AS level, score FROM h UNION ALL SELECT query_id, section_id, 'section', 0.4 FROM h UNION ALL SELECT query_id, document_id, 'document', 0.3 FROM h), b AS (SELECT query_id, id, level, max(score) AS score FROM u GROUP BY ALL)
+SELECT query_id, id, level, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, level, id) AS rank FROM b QUALIFY rank <= 10""")
 def hierarchy_expansion(spark, d):
     c = hierarchy.sections(chunks(spark, d))
     hits = retrieval.sparse_search(chunks(spark, d), asked(spark, d), 5)
@@ -574,7 +647,15 @@ def evaluation(spark, d):
     return validation.evaluate(_case_hits(spark, d), _relevant(spark, d))
 
 
-@query()
+_SPARSE = rf"""dw AS (SELECT id, term, ln(1 + count(*)) AS w FROM (SELECT id, unnest({WORDS.format(c='text')}) AS term FROM ({_CHUNKS})) GROUP BY ALL),
+  qw AS (SELECT query_id, term, ln(1 + count(*)) AS qw FROM (SELECT query_id, unnest({WORDS.format(c='query')}) AS term FROM asked) GROUP BY ALL),
+  scored AS (SELECT query_id, id, round(sum(w * qw), 6) AS score FROM dw JOIN qw USING (term) GROUP BY ALL)"""
+
+
+@query(f"""WITH asked AS (SELECT case_id AS query_id, query FROM eval_case), {_SPARSE}, top AS (SELECT query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM scored QUALIFY rank <= 5),
+  x AS (SELECT case_id AS query_id, unnest(relevant_doc_ids) AS id FROM eval_case), f AS (SELECT query_id, min(rank) AS rank FROM x LEFT JOIN top USING (query_id, id) GROUP BY query_id),
+  t AS (SELECT count(*) AS queries, avg((rank IS NOT NULL)::INT) AS hit, avg(rank) AS pos, avg((5 - (rank - 1)) / 5) AS near FROM f)
+SELECT queries, round(hit, 6) AS hit_rate, round(pos, 6) AS mean_position, round(0.7 * hit + 0.3 * coalesce(near, 0), 6) AS score, hit >= 0.5 AS passed FROM t""")
 def retrieval_quality(spark, d):
     expected = _relevant(spark, d).withColumnRenamed("id", "expected_id")
     return validation.retrieval_quality(_case_hits(spark, d), expected)
@@ -651,5 +732,5 @@ def prepared_chunks(spark, d):
 
 @query()
 def retrieved(spark, d):
-    c = chunks(spark, d).select("id", "text")
+    c = chunks(spark, d).select("id", "text", "vector")
     return pipelines.retrieve(retrieval.build_index(c), c, asked(spark, d), pipelines.RetrieveConfig(10, reranker="context_aware"))

@@ -52,14 +52,22 @@ class RetrieveConfig:
     rerank_top: int = 20
 
 
-def retrieve(index: retrieval.BM25Index, docs: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig()) -> DataFrame:
-    """(query_id, id, score, rank): lexical and sparse hits fused with the weight of each query's analysis, then reranked.
+def retrieve(index: retrieval.BM25Index, docs: DataFrame, queries: DataFrame, config: RetrieveConfig = RetrieveConfig(), query_vectors: DataFrame | None = None) -> DataFrame:
+    """(query_id, id, score, rank): lexical and dense hits fused with the weight of each query's analysis, then reranked.
+
+    Query vectors are given as (query_id, vector), or else those of the first lexical hits stand in; documents without
+    a column ``vector`` are searched by sparse vectors instead.
 
     ``auto`` fuses each query by the method of its type; the queries of one type go through one plan.
     """
     q = queries.withColumn("_a", Q.analysis(F.col("query"))).select("query_id", "query", F.col("_a.alpha").alias("alpha"), F.col("_a.fusion_method").alias("method"))
-    one = retrieval.sparse_search(docs, q, config.k).select("query_id", "id", "score", F.lit("vector").alias("list"))
-    two = retrieval.bm25_search(index, q, config.k).select("query_id", "id", "score", F.lit("bm25").alias("list"))
+    lexical = retrieval.bm25_search(index, q, config.k)
+    two = lexical.select("query_id", "id", "score", F.lit("bm25").alias("list"))
+    if "vector" in docs.columns:
+        one = retrieval.dense_top_k(docs, retrieval.feedback_vectors(lexical, docs) if query_vectors is None else query_vectors, config.k)
+    else:
+        one = retrieval.sparse_search(docs, q, config.k)
+    one = one.select("query_id", "id", "score", F.lit("vector").alias("list"))
     hits = one.unionByName(two).join(q.select("query_id", "alpha", "method"), "query_id").withColumnRenamed("query_id", "request_id")
     if config.fusion == "auto":
         parts = [fusion.fuse(hits.where(F.col("method") == m), m) for m in ("rrf", "softmax", "linear")]

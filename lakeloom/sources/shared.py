@@ -10,12 +10,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` where the cluster names one; a folder of this process's own otherwise, as in tests."""
+    """``spark.checkpoint.dir`` where the cluster names one; in local mode a folder of this process's own otherwise, as in tests."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
     named = spark.conf.get("spark.checkpoint.dir", None)
+    if not named and not sc.master.startswith("local") or not named and sc.master.startswith("local-cluster"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lakeloom-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -29,15 +31,29 @@ def cut(df: DataFrame) -> DataFrame:
 def written(df: DataFrame) -> DataFrame:
     """As ``cut``, but as a compressed, columnar table: for wide rows of which later steps read some columns only.
 
-    The folder is removed when the session's driver ends.
+    The folder is removed by ``release``, or when the session's driver ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(_remove, spark, path)
+    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
+def release() -> int:
+    """Remove all tables that ``written`` has written so far, once no result built on them is needed; returns how many."""
+    n = len(_written)
+    while _written:
+        _remove(*_written.pop())
+    return n
+
+
+atexit.register(release)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark._jvm.org.apache.hadoop.fs.Path(path)

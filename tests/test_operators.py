@@ -442,7 +442,7 @@ def test_prepare_and_retrieve(spark):
     assert {r.doc_id for r in got} == {1, 5} and all(r.section_id for r in got)
     docs = spark.createDataFrame([("a", "red lamp"), ("b", "blue cart"), ("c", None)], "id string, text string")
     q = spark.createDataFrame([(1, "what is the red lamp"), (2, "explain blue")], "query_id long, query string")
-    hits = P.retrieve(retrieval.build_index(docs), docs, q, P.RetrieveConfig(5, reranker="context_aware"))
+    hits = P.retrieve(retrieval.build_index(docs), docs, q, P.RetrieveConfig(5, reranker="context_aware_service"))
     assert {r.query_id: r.id for r in hits.where("rank = 1").collect()} == {1: "a", 2: "b"}
     rel = spark.createDataFrame([(1, "a"), (2, "b")], "query_id long, id string")
     assert P.evaluate(hits, rel).first().reciprocal_rank == 1.0
