@@ -74,7 +74,7 @@ def stat_sketches(stats: DataFrame) -> DataFrame:
 
     The common sketches are merged from those of the languages; nothing is scanned twice.
     """
-    by = stats.groupBy("lang").agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATS))
+    by = cut(stats.groupBy("lang").agg(*(F.kll_sketch_agg_double(s).alias(s) for s in STATS)))  # a row for each language
     known = by.withColumn("shown", F.col("lang") != "und")
     merged = known.groupBy("shown").agg(*(F.kll_merge_agg_double(s).alias(s) for s in STATS)).orderBy(F.desc("shown")).limit(1)
     return by.where("lang <> 'und'").unionByName(merged.select(F.lit("und").alias("lang"), *STATS))
