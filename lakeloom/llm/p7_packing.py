@@ -137,6 +137,15 @@ class _Rest:
         self.count[s] += 1
 
 
+def _swapped(rest: _Rest, waste: int, chosen: tuple[int, ...]) -> bool:
+    """Whether an item can give way to the next larger one that remains; quick, for searches with a budget."""
+    for s in set(chosen):
+        at = bisect_right(rest.keys, s)
+        if at < len(rest.keys) and rest.keys[at] - s <= waste and rest.count[rest.keys[at]] > chosen.count(rest.keys[at]):
+            return True
+    return False
+
+
 def _dominated(rest: _Rest, waste: int, chosen: tuple[int, ...]) -> bool:
     """Whether an item can give way to a larger one, or two to one, without more in the container than fits."""
     have = {s: chosen.count(s) for s in chosen}
@@ -218,7 +227,7 @@ def fillings(rest: _Rest, room: int, keep: int | None = KEEP) -> list[tuple[int,
 
     extend((), gap, gap)
     found.sort()
-    good = [c for w, c in found if not w or not _dominated(rest, w, c)] or [c for _, c in found[:1]]
+    good = [c for w, c in found if not w or not _swapped(rest, w, c)] or [c for _, c in found[:1]]
     for s in fixed:
         rest.put(s)
     return [(*fixed, *c) for c in dict.fromkeys(good)][:keep]
@@ -279,6 +288,8 @@ def _pack(sizes: list[int], cap: int, nodes: int | None = NODES, keep: int | Non
         for k, s in enumerate(falling):
             places.setdefault(s, []).append(k)
         incumbent = [[places[s].pop() for s in b] for b in better]
+        if nodes is not None:  # the budget is for one search
+            break
     return [[order[k] for k in b] for b in incumbent], bound, first
 
 
