@@ -264,4 +264,8 @@ def p3_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {"p3_found": p3_found, "p3_classes": p3_classes}
-SQL: dict[str, str] = {}
+SQL = {
+    "p3_found": r"""WITH w AS (SELECT id, list_distinct(regexp_extract_all(lower(content), '[\p{L}\p{N}_]+')) AS s FROM simulated_vector_db WHERE content IS NOT NULL), g AS (SELECT id, s, len(s) AS n FROM w WHERE len(s) > 0),
+  p AS (SELECT x.id AS id_a, y.id AS id_b, x.n + y.n AS m, len(list_intersect(x.s, y.s)) AS k FROM g x JOIN g y ON x.id < y.id AND least(x.n, y.n) >= 0.8 * greatest(x.n, y.n) - 1e-9)
+SELECT id_a, id_b FROM p WHERE k >= 0.8 * (m - k) - 1e-9"""
+}
