@@ -12,11 +12,15 @@ Two records are alike if their sets of distinct words have a Jaccard similarity
    each, with the bounding box of each leaf). The sum over the groups of the smaller coordinate bounds
    the overlap from above, for a leaf by the upper corner of its box, for a pair by the two points;
    with the sizes and the words' places this discards leaves and pairs.
-4. The words of the surviving pairs are compared exactly.
+4. Counts in ``PARITIES`` further groups are kept as odd or even. Two classes differ in at least as many
+   words as parities, so one exclusive-or discards a pair. In a block of more than ``TILED`` pairs, where
+   boxes discard next to nothing, the leaves are instead ranges of places and sizes, and their
+   parities are compared as matrices.
+5. The words of the surviving pairs are compared exactly.
 
-Nothing is lost: each bound is an upper bound, no block is capped. A block with more than ``BLOCK``
-filed points is split by salt, and those that look are sent to every part. Memory in a task is bounded
-by ``BLOCK`` points and one batch of lookups.
+Nothing is lost: each bound is an upper bound, no block is capped. A block with more than about ``BLOCK``
+filed points (estimated from a sample of the classes) is split by salt, and those that look are sent to
+every part. Memory in a task is bounded by its part of a block and one batch of lookups.
 
 Defined cases: null, empty and blank texts, and texts without any word, take no part. Equal rows are
 one record each; pairs need two different ids. Results carry ids only, so other columns can't clash.
@@ -35,10 +39,17 @@ from pyspark.sql import functions as F
 from .common import JAVA_WORD, not_blank, table, written
 
 GROUPS = 32
-#: A coordinate's largest value; points of records with as many words aren't held against the bound.
-FULL = 255
+#: A coordinate's largest value (four bits); words beyond it count as possibly shared.
+FULL = 15
+#: Groups of which only the parity is kept: two words of 64 bits.
+PARITIES = 128
 LEAF = 48
-BLOCK = 65536
+BLOCK = 1 << 18
+#: Pairs from which on a block is compared in tiles of so many lookups and filed points.
+TILED = 20_000
+TILE = (64, 1024)
+#: One in so many classes is looked at to estimate how many points are filed under a word.
+SAMPLE = 8
 #: Hash buckets of the word counts: bounds what the driver gathers, and changes only the order of words.
 BUCKETS = 1 << 18
 PAIRS_AT_ONCE = 1_000_000
@@ -70,22 +81,66 @@ def _need(t: float, n: np.ndarray) -> np.ndarray:
     return np.ceil(t * n - 1e-9).astype(np.int64)
 
 
-ROWS = pa.schema([("word", pa.int64()), ("salt", pa.int32()), ("looks", pa.bool_()), ("rep", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), ("point", pa.binary(GROUPS))])
-ROWS_SQL = "word long, salt int, looks boolean, rep string, n int, pos int, point binary"
+#: The parities and the point of a class are two numbers each.
+MARKS = ("parity_0", "parity_1", "point_0", "point_1")
+ROWS = pa.schema([("word", pa.int64()), ("salt", pa.int32()), ("looks", pa.bool_()), ("rep", pa.string()), ("n", pa.int32()), ("pos", pa.int32()), *((x, pa.int64()) for x in MARKS)])
+ROWS_SQL = "word long, salt int, looks boolean, rep string, n int, pos int, " + ", ".join(f"{x} long" for x in MARKS)
 
 
-def _filer(counts, t: float):
+def _grouped(doc: np.ndarray, group: np.ndarray, docs: int, groups: int) -> np.ndarray:
+    return np.bincount(doc * groups + group, minlength=docs * groups).reshape(docs, groups)
+
+
+def _marks(doc: np.ndarray, h: np.ndarray, docs: int) -> np.ndarray:
+    """One row of ``MARKS`` for each class."""
+    odd = (_grouped(doc, (h >> 20) & (PARITIES - 1), docs, PARITIES) & 1).astype(np.uint8)
+    point = _grouped(doc, (h >> 40) & (GROUPS - 1), docs, GROUPS).clip(max=FULL).astype(np.uint8)
+    both = np.hstack([np.packbits(odd, axis=1, bitorder="little"), point[:, ::2] | (point[:, 1::2] << 4)])
+    return np.ascontiguousarray(both).view(np.int64).reshape(docs, len(MARKS))
+
+
+def _filed_counts(counts, t: float):
+    """(b, n): how many of the classes are filed under the words of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(BUCKETS, np.int64)
+        for rows in _filer(counts, t)(batches):
+            filed = rows.column(0).to_numpy()[~rows.column(2).to_numpy(zero_copy_only=False)]
+            total += np.bincount(np.mod(filed, BUCKETS), minlength=BUCKETS)
+        b = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(b.astype(np.int32)), pa.array(total[b])], names=["b", "n"])
+
+    return run
+
+
+def _hashed(classes: DataFrame) -> DataFrame:
+    return classes.select("rep", F.transform(F.split("form", " "), lambda w: F.xxhash64(w)).alias("words"))
+
+
+def _parts(sets: DataFrame, counts, t: float, block: int, sample: int) -> np.ndarray | None:
+    """The parts of the block of each bucket's words; nothing if none needs to be split."""
+    if counts.value.max(initial=0) <= block:
+        return None
+    some = _hashed(classes_of(sets.where(F.pmod(F.xxhash64("key"), F.lit(sample)) == 0)))
+    got = some.mapInArrow(_filed_counts(counts, t), "b int, n long").groupBy("b").agg(F.sum("n").alias("n")).where(F.col("n") * sample > block).toArrow()
+    parts = np.ones(BUCKETS, np.int32)
+    parts[got["b"].to_numpy()] = -(-got["n"].to_numpy() * sample // block)
+    return parts if got.num_rows else None
+
+
+def _filer(counts, t: float, parts=None):
     """Rows of the classes under the words they are filed under and look themselves up under."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of_bucket = counts.value
+        parts_of = parts.value if parts is not None else np.ones(BUCKETS, np.int32)
         for b in batches:
             lists, reps = b.column(1), b.column(0)
             ends = lists.offsets.to_numpy()
             h = lists.values.to_numpy()[ends[0] : ends[-1]]
             n = np.diff(ends)
             doc = np.repeat(np.arange(len(n)), n)
-            point = np.bincount(doc * GROUPS + ((h >> 40) & (GROUPS - 1)), minlength=len(n) * GROUPS).clip(max=FULL).astype(np.uint8).reshape(-1, GROUPS)
+            marks = _marks(doc, h, len(n))
             count = of_bucket[np.mod(h, BUCKETS)]
             order = np.lexsort((h, count, doc))
             h, count = h[order], count[order]
@@ -94,16 +149,16 @@ def _filer(counts, t: float):
             file = n - _need(2 * t / (1 + t), n) + 1
             for looks, most in ((False, file), (True, look)):
                 at = np.flatnonzero((pos < most[doc]) & (n[doc] > 1))
-                parts = -(-count[at].astype(np.int64) // BLOCK)
+                split = parts_of[np.mod(h[at], BUCKETS)]
                 if looks:  # to every part of a split block
-                    at = np.repeat(at, np.maximum(parts, 1))
+                    at = np.repeat(at, split)
                     first = np.r_[True, at[1:] != at[:-1]] if len(at) else np.zeros(0, bool)
                     run_start = np.maximum.accumulate(np.where(first, np.arange(len(at)), 0)) if len(at) else at
                     salt = np.arange(len(at)) - run_start
                 else:
                     salt = np.zeros(len(at), np.int64)
-                    hot = np.flatnonzero(parts > 1)  # by the id, so that a repeated task files alike
-                    salt[hot] = [zlib.crc32(reps[int(d)].as_py().encode()) % int(p) for d, p in zip(doc[at[hot]], parts[hot])]
+                    hot = np.flatnonzero(split > 1)  # by the id, so that a repeated task files alike
+                    salt[hot] = [zlib.crc32(reps[int(d)].as_py().encode()) % int(p) for d, p in zip(doc[at[hot]], split[hot])]
                 for k in range(0, len(at), 50_000):
                     a, s = at[k : k + 50_000], salt[k : k + 50_000]
                     d = doc[a]
@@ -115,7 +170,7 @@ def _filer(counts, t: float):
                             reps.take(pa.array(d)),
                             pa.array(n[d].astype(np.int32)),
                             pa.array(pos[a].astype(np.int32)),
-                            pa.FixedSizeBinaryArray.from_buffers(pa.binary(GROUPS), len(a), [None, pa.py_buffer(np.ascontiguousarray(point[d]).tobytes())]).cast(pa.binary()),
+                            *(pa.array(marks[d, k]) for k in range(len(MARKS))),
                         ],
                         names=ROWS.names,
                     )
@@ -123,9 +178,12 @@ def _filer(counts, t: float):
     return run
 
 
-def _points(col: pa.Array) -> np.ndarray:
-    flat = b"".join(col.to_pylist())
-    return np.frombuffer(flat, np.uint8).reshape(-1, GROUPS)
+def _points(marks: np.ndarray) -> np.ndarray:
+    """The coordinates of packed points."""
+    packed = np.ascontiguousarray(marks[:, 2:]).view(np.uint8)
+    out = np.empty((len(marks), GROUPS), np.uint8)
+    out[:, ::2], out[:, 1::2] = packed & FULL, packed >> 4
+    return out
 
 
 def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -134,22 +192,40 @@ def _spread(starts: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return of, np.arange(len(of)) - (np.cumsum(sizes) - sizes)[of] + starts[of]
 
 
-def _candidates(a: dict, b: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (filed row, looking row) that the bounds leave; ``a`` and ``b`` are sorted by block number ``g``."""
-    order = np.lexsort((a["p"][:, : GROUPS // 2].sum(1), a["n"], a["g"]))
-    g = a["g"][order]
+def _may_be_alike(c: dict, x: np.ndarray, y: np.ndarray, t: float) -> np.ndarray:
+    """Which pairs (filed row, looking row) sizes, places, parities and points leave."""
+    share = t / (1 + t)
+    na, nb, pa_, pb = c["n"][x], c["n"][y], c["pos"][x], c["pos"][y]
+    need = np.ceil(share * (na + nb) - 1e-9)
+    out = np.flatnonzero((na <= nb) & (na >= t * nb - 1e-9) & (np.minimum(na - pa_, nb - pb) >= need) & (pa_ + pb <= na + nb - 2 * need))
+    for k in range(0, len(out), PAIRS_AT_ONCE):
+        i = out[k : k + PAIRS_AT_ONCE]
+        differ = np.bitwise_count(c["marks"][x[i], :2] ^ c["marks"][y[i], :2]).sum(1, dtype=np.int64)
+        i = i[differ <= (na + nb - 2 * need)[i]]
+        one, two = _points(c["marks"][x[i]]), _points(c["marks"][y[i]])
+        beyond = np.minimum(na[i] - one.sum(1, dtype=np.int64), nb[i] - two.sum(1, dtype=np.int64))
+        i = i[np.minimum(one, two).sum(1, dtype=np.int64) + beyond >= need[i]]
+        out[k : k + PAIRS_AT_ONCE] = np.r_[i, np.full(min(PAIRS_AT_ONCE, len(out) - k) - len(i), -1)]
+    return out[out >= 0]
+
+
+def _by_leaves(c: dict, filed: np.ndarray, looks: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (filed row, looking row) of many blocks that the bounds leave."""
+    filed = filed[np.lexsort((_points(c["marks"][filed])[:, : GROUPS // 2].sum(1), c["n"][filed], c["g"][filed]))]
+    g = c["g"][filed]
     first = np.r_[True, g[1:] != g[:-1]]
     start = np.maximum.accumulate(np.where(first, np.arange(len(g)), 0))
     new = first | ((np.arange(len(g)) - start) % LEAF == 0)
     leaf_at = np.flatnonzero(new)
     leaf_size = np.diff(np.r_[leaf_at, len(g)])
-    top = np.maximum.reduceat(a["p"][order], leaf_at, axis=0)
-    n_low, n_high = np.minimum.reduceat(a["n"][order], leaf_at), np.maximum.reduceat(a["n"][order], leaf_at)
-    pos_low = np.minimum.reduceat(a["pos"][order], leaf_at)
+    top = np.maximum.reduceat(_points(c["marks"][filed]), leaf_at, axis=0)
+    n_low, n_high = np.minimum.reduceat(c["n"][filed], leaf_at), np.maximum.reduceat(c["n"][filed], leaf_at)
+    pos_low = np.minimum.reduceat(c["pos"][filed], leaf_at)
     leaf_g = g[leaf_at]
-    lo, hi = np.searchsorted(b["g"], leaf_g, "left"), np.searchsorted(b["g"], leaf_g, "right")
+    b = {"n": c["n"][looks], "pos": c["pos"][looks], "p": _points(c["marks"][looks])}
+    b["beyond"] = b["n"] - b["p"].sum(1, dtype=np.int64)
+    lo, hi = np.searchsorted(c["g"][looks], leaf_g, "left"), np.searchsorted(c["g"][looks], leaf_g, "right")
     share = t / (1 + t)
-    out_a, out_b = [], []
     work = np.cumsum(hi - lo)
     cuts = np.searchsorted(work, np.arange(PAIRS_AT_ONCE, (work[-1] if len(work) else 0) + PAIRS_AT_ONCE, PAIRS_AT_ONCE), "left") + 1
     s = 0
@@ -167,29 +243,88 @@ def _candidates(a: dict, b: dict, t: float) -> tuple[np.ndarray, np.ndarray]:
         ok = nb - b["pos"][y] >= need
         ok &= pos_low[leaf] + b["pos"][y] <= (1 - 2 * share) * (np.minimum(n_high[leaf], nb) + nb) + 1e-9
         leaf, y, need = leaf[ok], y[ok], need[ok]
-        ok = (np.minimum(top[leaf], b["p"][y]).sum(1, dtype=np.int32) >= need) | (b["n"][y] >= FULL)
+        ok = np.minimum(top[leaf], b["p"][y]).sum(1, dtype=np.int64) + b["beyond"][y] >= need
         leaf, y = leaf[ok], y[ok]
         for k in range(0, len(leaf), PAIRS_AT_ONCE // LEAF):
             of, x = _spread(leaf_at[leaf[k : k + PAIRS_AT_ONCE // LEAF]], leaf_size[leaf[k : k + PAIRS_AT_ONCE // LEAF]])
-            yy, x = y[k : k + PAIRS_AT_ONCE // LEAF][of], order[x]
-            na, nb, pa_, pb = a["n"][x], b["n"][yy], a["pos"][x], b["pos"][yy]
-            need = np.ceil(share * (na + nb) - 1e-9)
-            ok = (na <= nb) & (na >= t * nb - 1e-9) & (np.minimum(na - pa_, nb - pb) >= need) & (pa_ + pb <= na + nb - 2 * need) & (a["id"][x] != b["id"][yy])
-            x, yy, need = x[ok], yy[ok], need[ok]
-            ok = (np.minimum(a["p"][x], b["p"][yy]).sum(1, dtype=np.int32) >= need) | (b["n"][yy] >= FULL)
-            out_a.append(x[ok])
-            out_b.append(yy[ok])
-    none = np.zeros(0, np.int64)
-    return np.concatenate(out_a or [none]), np.concatenate(out_b or [none])
+            x, yy = filed[x], looks[y[k : k + PAIRS_AT_ONCE // LEAF][of]]
+            ok = _may_be_alike(c, x, yy, t)
+            yield x[ok], yy[ok]
+
+
+def _by_tiles(c: dict, filed: np.ndarray, looks: np.ndarray, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (filed row, looking row) of one block that the bounds leave; both come sorted by place and size."""
+    share = t / (1 + t)
+    slack = 1 - 2 * share
+    n, pos, q, nb = c["n"][filed], c["pos"][filed], c["pos"][looks], c["n"][looks]
+    wide = int(max(n.max(), nb.max())) + 2
+    key, places = pos * wide + n, np.unique(pos)
+    new = np.r_[True, q[1:] != q[:-1]]
+    start = np.maximum.accumulate(np.where(new, np.arange(len(q)), 0))
+    at = np.flatnonzero((np.arange(len(q)) - start) % TILE[0] == 0)  # groups of lookups of one place and of sizes n1 to n2
+    end = np.r_[at[1:], len(q)]
+    n1, n2, q = nb[at][:, None], nb[end - 1][:, None], q[at][:, None]
+    least = np.maximum(np.maximum(t * n1, (places + q) / slack - n2), (places + share * n1) / (1 - share))
+    most = np.minimum(n2, (n2 - q) / share - n2) + 0 * places
+    lo = np.searchsorted(key, places * wide + np.ceil(least - 1e-6).clip(0, wide - 1).astype(np.int64), "left")
+    hi = np.searchsorted(key, places * wide + np.floor(most + 1e-6).clip(-1, wide - 2).astype(np.int64), "right")
+    size = np.maximum(hi - lo, 0)
+    parity = np.ascontiguousarray(c["marks"][filed, 0]), np.ascontiguousarray(c["marks"][looks, 0])
+    out_x, out_y, held = [], [], 0
+    for k in np.flatnonzero(size.any(1)):
+        x = _spread(lo[k], size[k])[1]
+        mine = parity[1][at[k] : end[k], None]
+        for j in range(0, len(x), TILE[1]):
+            some = x[j : j + TILE[1]]
+            may = (slack * (n[some] + n2[k]) + 1e-6).clip(max=64).astype(np.uint8)
+            hit = np.flatnonzero(np.bitwise_count(mine ^ parity[0][some]) <= may)
+            out_x.append(filed[some[hit % len(some)]])
+            out_y.append(looks[at[k] + hit // len(some)])
+            held += len(hit)
+        if held > PAIRS_AT_ONCE:
+            yield _left(c, out_x, out_y, t)
+            out_x, out_y, held = [], [], 0
+    if out_x:
+        yield _left(c, out_x, out_y, t)
+
+
+def _left(c: dict, xs: list[np.ndarray], ys: list[np.ndarray], t: float) -> tuple[np.ndarray, np.ndarray]:
+    x, y = np.concatenate(xs), np.concatenate(ys)
+    ok = _may_be_alike(c, x, y, t)
+    return x[ok], y[ok]
+
+
+def _candidates(c: dict, t: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs (filed row, looking row) that the bounds leave, of rows sorted by block number ``g``, filed ones first, place and size."""
+    g, looks = c["g"], c["looks"]
+    blocks = int(g[-1]) + 1
+    f, k = np.bincount(g[~looks], minlength=blocks), np.bincount(g[looks], minlength=blocks)
+    tiled = f * k > TILED
+    few = (~tiled & (f > 0) & (k > 0))[g]
+    if few.any():
+        yield from _by_leaves(c, np.flatnonzero(few & ~looks), np.flatnonzero(few & looks), t)
+    start = np.cumsum(f + k) - f - k
+    for b in np.flatnonzero(tiled):
+        middle = start[b] + f[b]
+        yield from _by_tiles(c, np.arange(start[b], middle), np.arange(middle, middle + k[b]), t)
 
 
 def _joiner(t: float):
-    """Candidate pairs of a partition sorted by (word, salt, looks): the filed rows of a block come before its lookups."""
+    """Candidate pairs of a partition sorted by (word, salt, looks, pos, n): the filed rows of a block come before its lookups."""
 
-    def columns(rows: pa.Table, ids: pa.Array) -> dict:
+    def columns(rows: pa.Table) -> dict:
         block = np.stack([rows["word"].to_numpy(), rows["salt"].to_numpy().astype(np.int64)])
         change = np.r_[False, (block[:, 1:] != block[:, :-1]).any(0)]
-        return {"g": np.cumsum(change), "looks": rows["looks"].to_numpy(), "n": rows["n"].to_numpy().astype(np.int64), "pos": rows["pos"].to_numpy().astype(np.int64), "p": _points(rows["point"].combine_chunks()), "id": ids}
+        marks = np.stack([rows[x].to_numpy() for x in MARKS], axis=1)
+        return {"g": np.cumsum(change), "looks": rows["looks"].to_numpy(), "n": rows["n"].to_numpy().astype(np.int64), "pos": rows["pos"].to_numpy().astype(np.int64), "marks": marks.view(np.uint64)}
+
+    def named(reps: pa.Array, x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        coded = pa.concat_arrays([reps.take(pa.array(x)), reps.take(pa.array(y))]).dictionary_encode()
+        one, two = np.split(coded.indices.to_numpy().astype(np.int64), 2)
+        wide = len(coded.dictionary)
+        pairs = np.unique((np.minimum(one, two) * wide + np.maximum(one, two))[one != two])
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(pairs // wide)), coded.dictionary.take(pa.array(pairs % wide))], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: pa.Table | None = None  # the filed rows of the last block
@@ -197,20 +332,19 @@ def _joiner(t: float):
             if not batch.num_rows:
                 continue
             rows = pa.Table.from_batches([batch.select(ROWS.names)])
-            rows = pa.concat_tables([kept, rows]) if kept is not None else rows
-            names = rows["rep"].combine_chunks()
-            coded = names.dictionary_encode()
-            c = columns(rows, coded.indices.to_numpy())
-            filed, looks = np.flatnonzero(~c["looks"]), np.flatnonzero(c["looks"])
-            if len(filed) and len(looks):
-                a = {k: v[filed] for k, v in c.items()}
-                b = {k: v[looks] for k, v in c.items()}
-                x, y = _candidates(a, b, t)
-                if len(x):
-                    one, two = a["id"][x].astype(np.int64), b["id"][y].astype(np.int64)
-                    pairs = np.unique(np.minimum(one, two) * len(coded.dictionary) + np.maximum(one, two))
-                    one, two = pairs // len(coded.dictionary), pairs % len(coded.dictionary)
-                    yield pa.RecordBatch.from_arrays([coded.dictionary.take(pa.array(one)), coded.dictionary.take(pa.array(two))], names=["a", "b"])
+            rows = pa.concat_tables([kept, rows]).combine_chunks() if kept is not None else rows
+            c = columns(rows)
+            reps = rows["rep"].combine_chunks()
+            xs, ys, held = [], [], 0
+            for x, y in _candidates(c, t):
+                xs.append(x)
+                ys.append(y)
+                held += len(x)
+                if held > PAIRS_AT_ONCE:
+                    yield from named(reps, np.concatenate(xs), np.concatenate(ys))
+                    xs, ys, held = [], [], 0
+            if held:
+                yield from named(reps, np.concatenate(xs), np.concatenate(ys))
             last = np.flatnonzero((c["g"] == c["g"][-1]) & ~c["looks"])
             kept = rows.take(pa.array(last)) if len(last) else None
 
@@ -221,9 +355,10 @@ def class_links(classes: DataFrame, sets: DataFrame, t: float = 0.8) -> DataFram
     """(a, b, similarity): all links between different word sets, once each, ``a < b``."""
     spark = classes.sparkSession
     counts = spark.sparkContext.broadcast(_counts(sets))  # BUCKETS numbers
-    hashed = classes.select("rep", F.transform(F.split("form", " "), lambda w: F.xxhash64(w)).alias("words"))
-    rows = hashed.mapInArrow(_filer(counts, t), ROWS_SQL)
-    blocks = rows.repartition("word", "salt").sortWithinPartitions("word", "salt", "looks")
+    parts = _parts(sets, counts, t, BLOCK, SAMPLE if BLOCK >= 1 << 15 else 1)
+    parts = spark.sparkContext.broadcast(parts) if parts is not None else None  # as many
+    rows = _hashed(classes).mapInArrow(_filer(counts, t, parts), ROWS_SQL)
+    blocks = rows.repartition("word", "salt").sortWithinPartitions("word", "salt", "looks", "pos", "n")
     found = blocks.mapInArrow(_joiner(t), "a string, b string").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     form = classes.select("rep", "form")
     pairs = found.join(form.select(F.col("rep").alias("a"), F.col("form").alias("form_a")), "a").join(form.select(F.col("rep").alias("b"), F.col("form").alias("form_b")), "b")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 import itertools
 import math
 import random
 import re
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -104,6 +107,70 @@ def test_near_duplicates_against_all_pairs(spark, block, monkeypatch):
     assert p3_near.class_links(p3_near.classes_of(none), none).count() == 0
 
 
+def prefix_blocks(texts, filer, counts=None):
+    """Rows of the blocks of ``texts`` (ids t0, t1, ...), sorted as the joiner wants them."""
+    words = [[int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "little", signed=True) for w in sorted(set(x.split()))] for x in texts]
+    if counts is None:
+        counts = np.bincount(np.concatenate(words) % p3_near.BUCKETS, minlength=p3_near.BUCKETS).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"t{i}" for i in range(len(texts))]), pa.array(words, pa.list_(pa.int64()))], names=["rep", "words"])
+    rows = pa.Table.from_batches(filer(SimpleNamespace(value=counts))(iter([batch])))
+    return rows.sort_by([(c, "ascending") for c in ("word", "salt", "looks", "pos", "n")]).combine_chunks()
+
+
+def one_subject(seed, n):
+    """Long texts over a few words, no two alike but for those changed on purpose."""
+    rng = random.Random(seed)
+    vocabulary = [f"w{i}" for i in range(160)]
+    plain = [rng.sample(vocabulary, rng.randint(85, 110)) for _ in range(n)]
+    return [" ".join(x) for x in [*plain, *([*x[4:], "v1", "v2"] for x in plain[:20])]]
+
+
+def alike(texts, t=0.8):
+    words = [frozenset(x.split()) for x in texts]
+    return {tuple(sorted((f"t{i}", f"t{j}"))) for i, j in itertools.combinations(range(len(texts)), 2) if len(words[i] & words[j]) >= t * len(words[i] | words[j]) - 1e-9}
+
+
+def test_a_large_block_leaves_few_pairs_to_verify():
+    # the words of a subject don't grow with its records, so what bounds can't tell apart grows with their square
+    t = one_subject(1, 600)
+    got = [r for b in p3_near._joiner(0.8)(iter(prefix_blocks(t, lambda c: p3_near._filer(c, 0.8)).to_batches(max_chunksize=10_000))) for r in zip(*b.to_pydict().values())]
+    found, true = {tuple(sorted(p)) for p in got}, alike(t)
+    assert true <= found and len(true) >= 20
+    assert len(found) <= 1.5 * len(true) + 20
+
+
+@pytest.mark.parametrize("tiled", [0, 300, 10**9])
+@pytest.mark.parametrize("at_once", [300, 10_000])
+def test_tiles_and_leaves_against_all_pairs(tiled, at_once, monkeypatch):
+    monkeypatch.setattr(p3_near, "TILED", tiled)
+    monkeypatch.setattr(p3_near, "TILE", (5, 7))
+    rng = random.Random(5)
+    long = [f"l{i}" for i in range(1500)]
+    t = [*texts(rng, 120), *one_subject(2, 40), *(" ".join(rng.sample(long, k)) for k in (300, 700, 1400))]
+    t = list({frozenset(x.split()): x for x in [*t, *(" ".join(x.split()[k:] + ["v3"]) for k, x in enumerate(t[-3:], 3))] if x}.values())
+    for sim in (0.6, 0.8):
+        rows = prefix_blocks(t, lambda c, sim=sim: p3_near._filer(c, sim))
+        found = {tuple(sorted(p)) for b in p3_near._joiner(sim)(iter(rows.to_batches(max_chunksize=at_once))) for p in zip(*b.to_pydict().values())}
+        true = alike(t, sim)
+        assert true <= found and len(true) > 10
+
+
+def test_lookups_are_repeated_for_filed_points_only(spark, monkeypatch):
+    # "the" is in all records, but the last of their words: nothing is filed under it, so there is no block to split
+    monkeypatch.setattr(p3_near, "BLOCK", 40)
+    t = [f"the {' '.join(f'w{(i * 7 + k) % 997}' for k in range(30))} {'hot' if i % 2 else ''}" for i in range(400)]
+    sets = p3_near.word_sets(spark.createDataFrame(list(enumerate(t)), "id int, content string"))
+    counts = SimpleNamespace(value=p3_near._counts(sets))
+    parts = p3_near._parts(sets, counts, 0.8, 40, 1)
+    assert parts is None and counts.value.max() == 400
+    filed = p3_near._parts(sets, counts, 0.8, 3, 1)
+    assert filed.max() > 1 and filed.max() <= -(-counts.value.max() // 3) // 4
+    # a block that is split gives the same pairs
+    want = {(r.a, r.b) for r in p3_near.class_links(p3_near.classes_of(sets), sets).collect()}
+    monkeypatch.setattr(p3_near, "BLOCK", 3)
+    assert {(r.a, r.b) for r in p3_near.class_links(p3_near.classes_of(sets), sets).collect()} == want
+
+
 def test_nearest_vectors(spark, monkeypatch):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((600, 20))
