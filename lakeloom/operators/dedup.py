@@ -1,18 +1,22 @@
 """Deduplication of document tables: exact by content hash, near by set similarity, merging of groups.
 
-The near-duplicate join is a prefix-filter join: a set is filed under its rarest elements only, candidates share
-one, sizes prune, the similarity is computed exactly. Identical sets collapse first.
+Near duplicates: identical sets collapse first. Of each other set the parities of its elements' hash groups are kept;
+sizes and parities discard pairs (as matrices, nothing is lost), and what is left is compared exactly.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as X
 from ..sources.shared import cut, written
@@ -32,60 +36,226 @@ def drop_exact(docs: DataFrame, key: str = "id", text: str = "text") -> DataFram
     return docs.join(first.select(F.col("_first").alias(key)), key, "left_semi")
 
 
-#: Hash buckets of the element counts (what the driver gathers), and how many sets an element may be shared by before its block is split.
-BUCKETS, BLOCK = 1 << 18, 20_000
-
-
-def _prefixes(counts, threshold: float):
-    """(e, salt, looks, id, size, place): each set under its rarest elements; once as filed, once for each part of a block as looking."""
+#: Bytes of a chunk of sets (at least, at most), and how many chunks small inputs are cut into.
+CHUNK, CHUNKS = (1 << 19, 1 << 23), 12
+#: Sets compared at once as a matrix, and pairs after which the matrices' finds are compared in full.
+TILE, PAIRS_AT_ONCE = (64, 1024), 1_000_000
+#: Characters of which Python's and Java's ideas of a word character are the same.
+ALIKE = r"[^\x{00}-\x{17f}\x{2003}\x{2010}-\x{2027}\x{20ac}\x{feff}]"
+#: Pairs up to which their ids go to every task.
+FEW = 100_000
+#: Hashes of elements that a task remembers.
+KNOWN = 1 << 20
+
+
+def _width(n: np.ndarray) -> np.ndarray:
+    """Numbers of 64 parities for a set of n elements: the power of two that gives four for each."""
+    return 1 << np.ceil(np.log2(np.maximum(n, 16) / 16)).astype(np.int64)
+
+
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, h, n, parities) of (id, elements, text in lower case, whose words count where there are no elements)."""
+    find, known = re.compile(r"\w+").findall, {}
+    for b in batches:
+        places, hs, flat, ns = [], [], [], []
+        for i, (given, low) in enumerate(zip(b.column(1).to_pylist(), b.column(2).to_pylist())):
+            s = set(given) if given is not None else set(find(low)) if low is not None else ()
+            if not s:
+                continue
+            if len(known) > KNOWN:
+                known = {}
+            try:
+                marks = [known[w] for w in s]
+            except KeyError:
+                for w in s:
+                    if w not in known:
+                        known[w] = int.from_bytes(hashlib.blake2b(w.encode(), digest_size=4).digest(), "little")
+                marks = [known[w] for w in s]
+            places.append(i)
+            hs.append(hashlib.sha256("\u0001".join(sorted(s)).encode()).digest())
+            ns.append(len(s))
+            flat.append(np.array(marks, np.int64))
+        n = np.array(ns, np.int64)
+        width, out = _width(n), [b""] * len(n)
+        for w in np.unique(width):
+            mine = np.flatnonzero(width == w)
+            step = max(1, (1 << 16) // int(w))
+            for k in range(0, len(mine), step):
+                some, bits = mine[k : k + step], 64 * int(w)
+                at = np.repeat(np.arange(len(some)), n[some]) * bits + (np.concatenate([flat[i] for i in some]) & (bits - 1))
+                odd = (np.bincount(at, minlength=len(some) * bits) & 1).astype(np.uint8).reshape(len(some), bits)
+                for i, packed in zip(some, np.packbits(odd, axis=1, bitorder="little")):
+                    out[i] = packed.tobytes()
+        yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(places, pa.int64())), pa.array(hs, pa.binary()), pa.array(n.astype(np.int32)), pa.array(out, pa.binary())], names=["id", "h", "n", "parities"])
+
+
+def _chunks(n: np.ndarray, count: np.ndarray, threshold: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
+    """For sets in order of size: where each size begins in bytes, a chunk's bytes, and for each chunk the first and last one whose sets may be similar to its own."""
+    weight = count * (64 + 8 * _width(n))
+    begins = np.cumsum(weight) - weight
+    total = int(weight.sum())
+    each = min(max(total / CHUNKS, CHUNK[0]), CHUNK[1])
+    edges = np.arange(int(total // each) + 1) * each
+    low = n[np.searchsorted(begins, edges, "right") - 1]
+    high = n[np.searchsorted(begins, np.minimum(edges + each, total - 1), "right") - 1]
+    return begins, each, np.searchsorted(high, threshold * low - 1e-9, "left"), np.searchsorted(threshold * low - 1e-9, high, "right") - 1
+
+
+def _dealt(plan) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(one, two, larger, id, n, parities): each set in each pair of chunks that its chunk has part in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        of_bucket = counts.value
+        sizes, count, begins, each, first, last = plan.value
         for b in batches:
-            lists = b.column(1)
-            ends = lists.offsets.to_numpy()
-            h, n = lists.values.to_numpy()[ends[0] : ends[-1]], np.diff(ends)
-            doc = np.repeat(np.arange(len(n)), n)
-            count = of_bucket[np.mod(h, BUCKETS)]
-            order = np.lexsort((h, count, doc))
-            h, count = h[order], count[order].astype(np.int64)
-            place = np.arange(len(h)) - (ends[:-1] - ends[0])[doc] + 1
-            at = np.flatnonzero(place <= (n - np.ceil(n * threshold - 1e-9) + 1)[doc])
-            parts = np.maximum(1, -(-count[at] // BLOCK))
-            mine = np.array([zlib.crc32(str(i).encode()) for i in b.column(0).to_pylist()])[doc[at]] % parts  # by the id, so that a repeated task files alike
-            wide = np.repeat(at, parts)
-            salts = np.arange(len(wide)) - np.repeat(np.cumsum(parts) - parts, parts)
-            for looks, rows, salt in ((False, at, mine), (True, wide, salts)):
-                d = doc[rows]
-                cols = [pa.array(h[rows]), pa.array(salt.astype(np.int32)), pa.array(np.full(len(rows), looks)), b.column(0).take(pa.array(d)), pa.array(n[d].astype(np.int32)), pa.array(place[rows].astype(np.int32))]
-                yield pa.RecordBatch.from_arrays(cols, names=["e", "salt", "looks", "id", "size", "place"])
+            n = b.column(1).to_numpy().astype(np.int64)
+            of = np.searchsorted(sizes, n)
+            spread = np.array([zlib.crc32(str(i).encode()) for i in b.column(0).to_pylist()], np.int64)  # by the id, so that a repeated task deals alike
+            mine = ((begins[of] + spread % count[of] * (64 + 8 * _width(n))) // each).astype(np.int64)
+            times = last[mine] - first[mine] + 1
+            rows = np.repeat(np.arange(len(n)), times)
+            other = np.arange(len(rows)) - np.repeat(np.cumsum(times) - times, times) + first[mine][rows]
+            own = mine[rows]
+            for k in range(0, len(rows), 20_000):
+                i, o, m = rows[k : k + 20_000], other[k : k + 20_000], own[k : k + 20_000]
+                cols = [pa.array(np.minimum(o, m).astype(np.int32)), pa.array(np.maximum(o, m).astype(np.int32)), pa.array(o <= m), *(b.column(c).take(pa.array(i)) for c in range(3))]
+                yield pa.RecordBatch.from_arrays(cols, names=["one", "two", "larger", "id", "n", "parities"])
+
+    return run
+
+
+class _Side:
+    """The sets of a chunk in order of size, with their parities folded to any smaller width."""
+
+    def __init__(self, rows: pa.Table):
+        rows = rows.take(pa.array(np.argsort(rows["n"].to_numpy(), kind="stable"))).combine_chunks()
+        self.ids, self.n = rows["id"].combine_chunks(), rows["n"].to_numpy().astype(np.int64)
+        self.width, self.folded = _width(self.n), {}
+        flat, start = np.frombuffer(b"".join(rows["parities"].to_pylist()), np.uint64), np.cumsum(self.width) - self.width
+        ends = np.flatnonzero(np.r_[self.width[1:] != self.width[:-1], True])
+        self.parts = [(i, e + 1, flat[start[i] : start[e] + self.width[e]].reshape(e + 1 - i, -1)) for i, e in zip(np.r_[0, ends[:-1] + 1], ends)]
+
+    def at(self, width: int) -> np.ndarray:
+        """(width, sets); of sets with fewer parities nothing is used."""
+        if width not in self.folded:
+            out = np.zeros((width, len(self.n)), np.uint64)
+            for i, e, m in self.parts:
+                if m.shape[1] >= width:
+                    out[:, i:e] = np.bitwise_xor.reduce(m.reshape(e - i, -1, width), axis=1).T
+            self.folded[width] = out
+        return self.folded[width]
+
+
+def _near(x: _Side, y: _Side, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of pairs, in x the smaller set and in y the larger, that the parities leave. x is y: each pair once.
+
+    Two sets differ in at least as many elements as parities; folding makes fewer parities of many.
+    """
+    slack = (1 - threshold) / (1 + threshold)
+    held: list[np.ndarray] = []
+
+    def left() -> tuple[np.ndarray, np.ndarray]:
+        i, j = np.concatenate([p for p, _ in held]), np.concatenate([p for _, p in held])
+        held.clear()
+        width, keep = x.width[i], []
+        for w in np.unique(width):
+            some = np.flatnonzero(width == w)
+            a, b = x.at(int(w)), y.at(int(w))
+            differ = np.zeros(len(some), np.int64)
+            for k in range(int(w)):
+                differ += np.bitwise_count(a[k][i[some]] ^ b[k][j[some]])
+            keep.append(some[differ <= slack * (x.n[i[some]] + y.n[j[some]]) + 1e-6])
+        ok = np.concatenate(keep)
+        return i[ok], j[ok]
+
+    waiting = 0
+    for s in range(0, len(y.n), TILE[0]):
+        e = min(s + TILE[0], len(y.n))
+        lo, hi = np.searchsorted(x.n, threshold * y.n[s] - 1e-6, "left"), e if x is y else np.searchsorted(x.n, y.n[e - 1], "right")
+        for k in range(lo, hi, TILE[1]):
+            m = min(k + TILE[1], hi)
+            most = slack * (y.n[e - 1] + x.n[k:m]) + 1e-6
+            width = int(min(x.width[k], y.width[s], 1 << max(0, math.ceil(math.log2(3 * most[-1] / 64)))))
+            a, b = x.at(width), y.at(width)
+            differ = np.bitwise_count(b[0, s:e, None] ^ a[0, k:m])
+            if width > 3:
+                differ = differ.astype(np.int32)
+            for w in range(1, width):
+                differ += np.bitwise_count(b[w, s:e, None] ^ a[w, k:m])
+            hit = np.flatnonzero(differ <= most.clip(max=64 * width).astype(differ.dtype))
+            i, j = k + hit % (m - k), s + hit // (m - k)
+            if x is y and m > s:
+                i, j = i[i < j], j[i < j]
+            if len(i):
+                held.append((i, j))
+                waiting += len(i)
+            if waiting > PAIRS_AT_ONCE:
+                yield left()
+                waiting = 0
+    if held:
+        yield left()
+
+
+def _compared(threshold: float, schema: pa.Schema) -> Callable[[pa.Table], pa.Table]:
+    def run(rows: pa.Table) -> pa.Table:
+        larger = rows["larger"].to_numpy()
+        same = rows["one"][0].as_py() == rows["two"][0].as_py()
+        if not same and larger.all() or not larger.any():
+            return pa.Table.from_batches([], schema)
+        y = _Side(rows.filter(pa.array(larger)))
+        x = y if same else _Side(rows.filter(pa.array(~larger)))
+        found = [pa.RecordBatch.from_arrays([x.ids.take(pa.array(i)), y.ids.take(pa.array(j))], schema=schema) for i, j in _near(x, y, threshold)]
+        return pa.Table.from_batches(found, schema)
 
     return run
 
 
-def similar_pairs(docs: DataFrame, elements: Column, threshold: float = 0.85, key: str = "id") -> DataFrame:
+def _candidates(whole: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of different sets, a < b, of which sizes and parities don't show that they are too different.
+
+    Sets are cut into chunks by size; each two chunks that may hold similar sets are compared in one task, set by set.
+    """
+    spark, kind = whole.sparkSession, whole.schema["id"].dataType
+    some = whole.where(F.col("n") >= threshold / (1 - threshold) - 1e-6) if threshold < 1 else whole.limit(0)  # smaller sets are similar to equal ones only
+    got = some.groupBy("n").count().toArrow()  # a row for each size
+    order = np.argsort(got["n"].to_numpy())
+    n, count = got["n"].to_numpy()[order].astype(np.int64), got["count"].to_numpy()[order]
+    if not len(n):
+        return spark.createDataFrame([], f"a {kind.simpleString()}, b {kind.simpleString()}")
+    begins, each, first, last = _chunks(n, count, threshold)
+    plan = spark.sparkContext.broadcast((n, count, begins, each, first, last))
+    rows = some.select("id", "n", "parities").mapInArrow(_dealt(plan), f"one int, two int, larger boolean, id {kind.simpleString()}, n int, parities binary")
+    tasks = int((np.arange(len(first)) - first + 1).sum())
+    ids = to_arrow_type(kind)
+    pairs = rows.repartition(min(tasks, 2_000), "one", "two").groupBy("one", "two").applyInArrow(_compared(threshold, pa.schema([("a", ids), ("b", ids)])), f"a {kind.simpleString()}, b {kind.simpleString()}")
+    return pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def rows_of(docs: DataFrame, pairs: DataFrame, key: str = "id") -> DataFrame:
+    """The rows whose key is in a pair; ``pairs`` is read twice."""
+    ids = pairs.select(F.explode(F.array("a", "b")).alias(key)).distinct()
+    return docs.join(F.broadcast(ids) if pairs.count() < FEW else ids, key, "left_semi")
+
+
+def similar_pairs(docs: DataFrame, elements: Column, threshold: float = 0.85, key: str = "id", words_of: Column | None = None) -> DataFrame:
     """(a, b, similarity), a < b, of representatives of different sets; and of copies with their representative (similarity 1).
 
-    Elements are ordered by the count of their hash bucket, which changes only what a set is filed under; an element
-    shared by more than ``BLOCK`` sets is split by salt, and those that look go to every part.
+    ``words_of``: where the elements are the words of this text. ``docs`` is read twice: for the sets, and for those of the candidates.
     """
-    sets = docs.select(F.col(key).alias("id"), F.array_sort(F.array_distinct(elements)).alias("s")).where(F.size("s") > 0)
-    sets = written(sets.select("id", "s", F.unhex(F.sha2(F.concat_ws("\u0001", "s"), 256)).alias("h")))
-    whole = written(sets.groupBy("h").agg(F.min("id").alias("id"), F.first("s").alias("s"), F.count("*").alias("n")))
-    several = whole.where("n > 1").select("h", F.col("id").alias("a"))
+    id_ = F.col(key).alias("id")
+    if words_of is None:
+        given = docs.select(id_, elements.alias("s"), F.lit(None).cast("string").alias("low"))
+    else:
+        low = F.lower(words_of)
+        rare = (F.octet_length(low) > F.length(low)) & low.rlike(ALIKE)
+        given = docs.select(id_, F.when(rare, elements).alias("s"), F.when(~rare, low).alias("low"))
+    sets = written(given.mapInArrow(_signed, f"id {docs.schema[key].dataType.simpleString()}, h binary, n int, parities binary"))
+    whole = written(sets.groupBy("h").agg(F.min("id").alias("id"), F.first("n").alias("n"), F.first("parities").alias("parities"), F.count("*").alias("copies")))
+    several = whole.where("copies > 1").select("h", F.col("id").alias("a"))
     copies = sets.select("id", "h").join(several, "h").where("id <> a").select("a", F.col("id").alias("b"), F.lit(1.0).alias("similarity"))
-    reps = whole.select("id", "s")
-    hashed = reps.select("id", F.transform("s", lambda x: F.xxhash64(x)).alias("hs"))
-    got = hashed.select(F.explode(F.transform("hs", lambda x: F.pmod(x, F.lit(BUCKETS)).cast("int"))).alias("b")).groupBy("b").count().toArrow()  # BUCKETS rows at most
-    counts = np.zeros(BUCKETS, np.int64)
-    counts[got["b"].to_numpy()] = got["count"].to_numpy()
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
-    rows = hashed.mapInArrow(_prefixes(shared, threshold), f"e long, salt int, looks boolean, id {docs.schema[key].dataType.simpleString()}, size int, place int")
-    x, y = rows.where("not looks").alias("x"), rows.where("looks").alias("y")
-    fits = (F.col("x.e") == F.col("y.e")) & (F.col("x.salt") == F.col("y.salt")) & (F.col("x.id") < F.col("y.id")) & (F.least("x.size", "y.size") >= threshold * F.greatest("x.size", "y.size") - 1e-9)
-    left = F.least(F.col("x.size") - F.col("x.place"), F.col("y.size") - F.col("y.place")) + 1
-    enough = left >= threshold / (1 + threshold) * (F.col("x.size") + F.col("y.size")) - 1e-9
-    cand = x.join(y, fits & enough).select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+    cand = written(_candidates(whole, threshold))
+    found = rows_of(docs, cand, key).select(id_, F.array_sort(F.array_distinct(elements)).alias("s"))
+    found = written(found.select("id", "s", F.unhex(F.sha2(F.concat_ws("\u0001", "s"), 256)).alias("h")))  # else a test for null by the join below takes the elements of all rows
+    reps = found.join(whole.select("id", "h"), ["id", "h"], "left_semi").dropDuplicates(["id", "h"])
     checked = cand.join(reps.select(F.col("id").alias("a"), F.col("s").alias("sa")), "a").join(reps.select(F.col("id").alias("b"), F.col("s").alias("sb")), "b")
     sim = checked.select("a", "b", X.jaccard(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
     return sim.unionByName(copies)
@@ -94,7 +264,8 @@ def similar_pairs(docs: DataFrame, elements: Column, threshold: float = 0.85, ke
 def near_duplicates(docs: DataFrame, threshold: float = 0.85, kind: str = "token", key: str = "id", text: str = "text") -> DataFrame:
     """Pairs by word sets (``token``) or by character 3-grams (``shingle``)."""
     c = F.col(text)
-    return similar_pairs(docs, X.words(c) if kind == "token" else X.char_shingles(c), threshold, key)
+    docs = docs.select(key, text)
+    return similar_pairs(docs, X.words(c), threshold, key, c) if kind == "token" else similar_pairs(docs, X.char_shingles(c), threshold, key)
 
 
 def clusters(pairs: DataFrame) -> DataFrame:
