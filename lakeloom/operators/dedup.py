@@ -274,7 +274,8 @@ def clusters(pairs: DataFrame) -> DataFrame:
     In each round every node hooks onto its smallest neighbour if that is smaller, and a smallest node that nobody hooked
     onto does so too. This gives trees of two nodes at least; they are jumped flat and contracted, so nodes halve each round.
     """
-    edges = cut(pairs.select(F.col("a").alias("x"), F.col("b").alias("y")).unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"))).distinct())
+    both = F.explode(F.array(F.struct(F.col("a").alias("x"), F.col("b").alias("y")), F.struct(F.col("b").alias("x"), F.col("a").alias("y"))))  # a union would search for the pairs twice
+    edges = cut(pairs.select(both.alias("e")).select("e.*").distinct())
     label = edges.select(F.col("x").alias("id"), F.col("x").alias("label")).distinct()
     edges = edges.where("x <> y")
     while edges.limit(1).count():

@@ -64,3 +64,16 @@ def test_characters_are_words_alike(spark):
     df = spark.createDataFrame([(c,) for c in chars], "c string")
     got = df.select("c", F.col("c").rlike(X.WORD).alias("word"), F.col("c").rlike(dedup.ALIKE).alias("rare")).collect()
     assert [r.c for r in got if r.rare or r.word != bool(re.search(r"\w", r.c))] == []
+
+
+def test_clusters_read_pairs_once(spark):
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").mapInArrow(counted, "a long, b long")
+    got = {r.id: r.cluster for r in dedup.clusters(pairs).collect()}
+    assert got == dict.fromkeys(range(31), 0) and seen.value == 30
