@@ -484,9 +484,10 @@ def numeric_data(spark, d):
 @query()
 def minhash_similarity(spark, d):
     """Estimated and exact Jaccard similarity of each near-duplicate pair."""
-    t = docs(spark, d).select("doc_id", X.words(F.col("text")).alias("w"))
-    sig = t.select("doc_id", dedup.minhash(F.array_distinct("w"), 64).alias("s"))
-    pairs = dedup.near_duplicates(docs(spark, d), 0.85, "token", "doc_id")
+    t = docs(spark, d).select("doc_id", "text")
+    pairs = written(dedup.near_duplicates(t, 0.85, "token", "doc_id"))
+    w = written(dedup.rows_of(t, pairs, "doc_id").select("doc_id", F.array_distinct(X.words(F.col("text"))).alias("w")))  # once for all permutations
+    sig = written(w.select("doc_id", dedup.minhash(F.col("w"), 64).alias("s")))
     both = pairs.join(sig.select(F.col("doc_id").alias("a"), F.col("s").alias("x")), "a").join(sig.select(F.col("doc_id").alias("b"), F.col("s").alias("y")), "b")
     return both.select("a", "b", F.round("similarity", 6).alias("similarity"), dedup.signature_similarity(F.col("x"), F.col("y")).alias("estimate"))
 

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from lakeloom.functions import text as X
 from lakeloom.operators import dedup
+from lakeloom.plans import catalog
 
 
 def texts(n: int, words: int, seed: int = 3) -> list[str]:
@@ -77,3 +78,18 @@ def test_clusters_read_pairs_once(spark):
     pairs = spark.createDataFrame([(i, i + 1) for i in range(30)], "a long, b long").mapInArrow(counted, "a long, b long")
     got = {r.id: r.cluster for r in dedup.clusters(pairs).collect()}
     assert got == dict.fromkeys(range(31), 0) and seen.value == 30
+
+
+def test_minhash_signs_paired_documents_only(spark, tmp_path, monkeypatch):
+    some = [*texts(60, 200), None, ""]
+    docs = spark.createDataFrame([(i, x) for i, x in enumerate(some)], "doc_id long, text string")
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    signed = []
+    keep = catalog.written
+    monkeypatch.setattr(catalog, "written", lambda df: signed.append(keep(df)) or signed[-1])
+    got = {(r.a, r.b): (r.similarity, r.estimate) for r in catalog.minhash_similarity(spark, str(tmp_path)).collect()}
+    pairs = dedup.near_duplicates(docs, 0.85, "token", "doc_id")
+    every = {r.doc_id: r.s for r in docs.select("doc_id", dedup.minhash(F.array_distinct(X.words(F.col("text"))), 64).alias("s")).collect()}
+    assert got == {(r.a, r.b): (round(r.similarity, 6), sum(x == y for x, y in zip(every[r.a], every[r.b])) / 64) for r in pairs.collect()}
+    ids = {i for pair in got for i in pair}
+    assert 0 < len(ids) < len(some) and {r.doc_id for r in signed[-1].collect()} == ids
